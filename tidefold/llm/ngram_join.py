@@ -37,9 +37,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidefold.llm import _words as W
+from tidefold.llm._bits import among, bitmap
 from tidefold.llm._shared import Tables, components, own_columns
 
-WIDTH, PERCENT, SKETCH_BITS, FILTER_BITS = 5, 80, 18, 23
+WIDTH, PERCENT, SKETCH_BITS = 5, 80, 18
 
 
 def digest(s: np.ndarray) -> int:
@@ -134,23 +135,18 @@ def _pivots(percent: int):
     return run, "token long, pos long, n long, doc_id long, lead boolean, with_doc long"
 
 
-def _sets(width: int, bits: int, wanted):
+def _sets(width: int, wanted):
     """The whole sets of the documents whose bit is on."""
     schema = pa.schema([("doc_id", pa.int64()), ("s", pa.large_binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on = wanted.value
         for batch in batches:
-            ids = np.asarray(batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False), dtype=np.int64)
-            bit = W.mix(ids.view(np.uint64)) >> np.uint64(64 - bits)
-            hit = ((on[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            rows = np.flatnonzero(hit)
-            texts, ids, got, held = batch.column(1).take(pa.array(rows)), ids[rows], [], 0
-            at = []
-            for i, h in W.by_text(texts):
-                s = W.shingle_set(h, width)
-                got.append(s.tobytes())
-                at.append(ids[i])
+            hit = among(batch.column(2).to_numpy().view(np.uint64), wanted.value) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            rows = pa.array(np.flatnonzero(hit))
+            ids, got, at, held = batch.column(0).take(rows), [], [], 0
+            for i, h in W.by_text(batch.column(1).take(rows)):
+                got.append(W.shingle_set(h, width).tobytes())
+                at.append(ids[i].as_py())
                 held += len(got[-1])
                 if held > 4_000_000:
                     yield pa.record_batch([pa.array(at, pa.int64()), pa.array(got, pa.large_binary())], schema=schema)
@@ -190,31 +186,13 @@ def _verify(percent: int):
     return run, "a long, b long"
 
 
-def _bitmap(bits: int):
-    """Words of a bitmap of the ids."""
-    schema = pa.schema([("at", pa.int32()), ("x", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on = np.zeros(1 << (bits - 6), dtype=np.uint64)
-        for batch in batches:
-            bit = W.mix(batch.column(0).to_numpy().view(np.uint64)) >> np.uint64(64 - bits)
-            np.bitwise_or.at(on, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-        at = np.flatnonzero(on)
-        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(on[at].view(np.int64))], schema=schema)
-
-    return run, "at int, x long"
-
-
 def _linked(docs: DataFrame, pairs: DataFrame, tables: Tables, width: int, percent: int) -> DataFrame:
     """Those of the distinct pairs (a, b) that link."""
     # a bitmap of a fixed size keeps most other sets out of the shuffle; the joins below are exact
     spark = docs.sparkSession
-    run, schema = _bitmap(FILTER_BITS)
-    found = pairs.select(F.explode(F.array("a", "b"))).mapInArrow(run, schema).groupBy("at").agg(F.bit_or("x").alias("x")).toArrow()
-    on = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
-    on[found["at"].to_numpy()] = found["x"].to_numpy().view(np.uint64)
-    run, schema = _sets(width, FILTER_BITS, spark.sparkContext.broadcast(on))
-    sets = docs.mapInArrow(run, schema)
+    on = bitmap(pairs.select(F.xxhash64(F.explode(F.array("a", "b")))))
+    run, schema = _sets(width, spark.sparkContext.broadcast(on))
+    sets = docs.select("doc_id", "text", F.xxhash64("doc_id")).mapInArrow(run, schema)
     left = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("t")), "b")
     both = left.join(sets.select(F.col("doc_id").alias("a"), "s"), "a").select("a", "b", "s", "t")
     run, schema = _verify(percent)
