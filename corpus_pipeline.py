@@ -1,21 +1,62 @@
-"""The corpus pipeline: stages over the table ``documents``, each written as Parquet and reread as the next one's input."""
+"""The corpus pipeline: stages over the table ``documents``, each written as Parquet and reread as the next one's input.
+
+Each stage takes (spark, docs, sf_dir).  All but the last return the columns of ``docs``; rows with null ids are cleaned and kept
+like others where a decision is about the text alone, and stay where it is about an id.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidefold.llm import decontaminate, line_dedup, mixing, ngram_join, quality_rules
 from tidefold.llm._shared import Tables
-from tidefold.llm.ngram_join import similarity_classes
+
+
+def _texts(docs: DataFrame, cleaned: DataFrame) -> DataFrame:
+    """The rows of docs with the texts of ``cleaned``, which holds the row in ``row`` and the new text."""
+    put = {"text": F.col("cleaned"), "n_chars": F.length("cleaned").cast("long")}
+    kept = [put[c].alias(c) if c in put else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return cleaned.select(*kept)
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Failing lines go from every text, and the documents that are not kept go whole."""
+    judged = quality_rules.judge(docs, text=True, carry=docs.columns)
+    return _texts(docs, judged.where("kept").withColumnRenamed("text", "cleaned"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that stand on many sites go; every document stays."""
+    return _texts(docs, line_dedup.clean(docs, carry=docs.columns).withColumnRenamed("text", "cleaned"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one whose id names the group."""
-    keep = similarity_classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    gone = ngram_join.similarity_classes(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents into which a benchmark item leaks go."""
+    found = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    return mixing.mix(docs)
 
 
-STAGES = [("n-gram Jaccard join", near_duplicates)]
+STAGES = [
+    ("quality rules", rules),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", leaks),
+    ("mixing sources to target weights", mix),
+]
 
+#: SQL can express neither the join's order nor the seeded choice of blocks; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
