@@ -14,9 +14,13 @@ of the shingles, and any order gives the same links.
    near copies, is compared with the others: a group of any size costs its size.
 3. Pairs that pass the length, positional and suffix filters are verified once on
    the whole sets.  Connected components over the links follow.
-4. Entries of one bucket that are still in different components are all compared,
-   with the positional filter tightened by the count of shared shingles so far; links
-   found join components.  Pairs within a component need no comparison.
+4. Entries of one bucket that are still in different components are all compared, if three
+   filters let them: the positional filter, tightened by the count of shared shingles so far;
+   the count of prefix shingles that the pair shares; and the pivot bound.  The overlap of x and y is
+   at most that of x with the bucket's first document, which is known, and the number of
+   shingles of x outside that document which another one of its bucket has too.  So the
+   members of a group of near misses, each with changes of its own, need not be compared in pairs.
+   Pairs within a component need no comparison.
 
 Result: one row per row of the input: ``doc_id, n_shingles, component_id``.
 ``component_id`` is the smallest ``doc_id`` reachable by links.  A null or empty text has
@@ -157,45 +161,48 @@ def _sets(width: int, wanted):
     return run, "doc_id long, s binary"
 
 
-def overlap(x: np.ndarray, y: np.ndarray, need: int) -> int:
-    """Size of the intersection of two ascending sets; -1 once the suffix filter shows that it is below need."""
+def overlap(x: np.ndarray, y: np.ndarray, need: int) -> np.ndarray | None:
+    """Which of the ascending set y are in the ascending set x; None once the suffix filter shows that fewer than need are."""
     if min(len(x), len(y)) < need:
-        return -1
+        return None
     parts = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
     a, b = (np.diff(np.concatenate([[0], np.searchsorted(s, parts), [len(s)]])) for s in (x, y))
     if int(np.minimum(a, b).sum()) < need:
-        return -1
-    at = np.searchsorted(y, x)
-    at[at == len(y)] = 0
-    return int((y[at] == x).sum())
+        return None
+    at = np.searchsorted(x, y)
+    at[at == len(x)] = 0
+    return x[at] == y
 
 
-def _verify(percent: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _verify(percent: int, outside: bool):
+    """(a, b, n, o, linked, outside): the size of b, the overlap, and the shingles of b that a lacks if they are the fewer."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("o", pa.int64()), ("linked", pa.bool_()), ("outside", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (s, t) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+            n, o, linked, out = [], [], [], []
+            for s, t in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (s, t))
                 need = -(-percent * (len(x) + len(y)) // (100 + percent))
-                keep[i] = overlap(x, y, need) >= need
-            rows = pa.array(np.flatnonzero(keep))
-            yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows)], schema=schema)
+                common = overlap(x, y, 0 if outside else need)
+                n.append(len(y))
+                o.append(max(0, int(common.sum())) if common is not None else 0)
+                linked.append(o[-1] >= need)
+                out.append(y[~common].view(np.int64) if outside and 2 * o[-1] >= len(y) else None)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(o, pa.int64()), pa.array(linked, pa.bool_()), pa.array(out, pa.list_(pa.int64()))], schema=schema)
 
-    return run, "a long, b long"
+    return run, "a long, b long, n long, o long, linked boolean, outside array<long>"
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, tables: Tables, width: int, percent: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) that link."""
+def _verified(docs: DataFrame, pairs: DataFrame, tables: Tables, width: int, percent: int, outside: bool) -> DataFrame:
+    """The distinct pairs (a, b) with their overlaps."""
     # a bitmap of a fixed size keeps most other sets out of the shuffle; the joins below are exact
-    spark = docs.sparkSession
-    on = bitmap(pairs.select(F.xxhash64(F.explode(F.array("a", "b")))))
-    run, schema = _sets(width, spark.sparkContext.broadcast(on))
+    on = bitmap(pairs.select(F.explode(F.array(F.xxhash64("a"), F.xxhash64("b")))))
+    run, schema = _sets(width, docs.sparkSession.sparkContext.broadcast(on))
     sets = docs.select("doc_id", "text", F.xxhash64("doc_id")).mapInArrow(run, schema)
     left = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("t")), "b")
     both = left.join(sets.select(F.col("doc_id").alias("a"), "s"), "a").select("a", "b", "s", "t")
-    run, schema = _verify(percent)
+    run, schema = _verify(percent, outside)
     return tables.keep(both.mapInArrow(run, schema))
 
 
@@ -224,37 +231,47 @@ def similarity_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     run, schema = _pivots(percent)
     live = tables.keep(entries.mapInArrow(run, schema))
 
-    def reps(pairs: DataFrame) -> DataFrame:
-        a = pairs.join(of.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a")
-        b = a.join(of.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b").where("ra <> rb")
-        return b.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-
-    first = tables.keep(reps(live.where("with_doc is not null").select(F.col("doc_id").alias("a"), F.col("with_doc").alias("b")).distinct()))
-    links = _linked(docs, first, tables, width, percent)
+    # a is the bucket's first document; a pair that meets both ways is verified one way
+    named = live.where("with_doc is not null").select(F.col("with_doc").alias("a"), F.col("doc_id").alias("b")).distinct()
+    named = named.join(of.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a").join(of.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b").where("ra <> rb")
+    first = named.groupBy(F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y")).agg(F.min("ra").alias("a"))
+    first = tables.keep(first.select("a", (F.col("x") + F.col("y") - F.col("a")).alias("b")))
+    met = _verified(docs, first, tables, width, percent, outside=True)
     # an id with several texts is one vertex
     split = of.groupBy("doc_id").agg(F.min("rep").alias("b"), F.count("*").alias("k")).where("k > 1").drop("k")
     again = of.join(split, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b")
-    one = tables.keep(components(links.unionByName(again), tables))
+    one = tables.keep(components(met.where("linked").select("a", "b").unionByName(again), tables))
+
+    # the pivot bound: most that b can share with another document in which a is the first of the bucket
+    near = met.where("not linked and outside is not null").select("a").distinct()
+    outer = met.join(near, "a", "left_semi").select("a", "b", F.explode("outside").alias("t"))
+    common = outer.groupBy("a", "t").agg(F.count("*").alias("k")).where("k > 1").drop("k")
+    extra = outer.join(common, ["a", "t"]).groupBy("a", "b").agg(F.count("*").alias("k"))
+    bound = met.join(near, "a", "left_semi").where("outside is not null").join(extra, ["a", "b"], "left").select(F.col("a").alias("first"), F.col("b").alias("rep"), (F.col("o") + F.coalesce("k", F.lit(0))).alias("most"))
 
     label = of.join(one, of["rep"] == one["id"], "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("comp"))
-    rest = live.where("not lead").drop("lead", "with_doc").join(label, "doc_id")
+    rest = live.where("not lead").drop("lead").join(label, "doc_id")
     open_ = rest.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
-    rest = tables.keep(rest.join(open_, "token").withColumn("before", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1))
-    x, y = (rest.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "rep", "comp", "pos", "n", "before")]) for k in "xy")
-    may = (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & (F.least("before_x", "before_y") + 1 + F.least(F.expr("n_x - pos_x - 1"), F.expr("n_y - pos_y - 1")) >= _need(F.col("n_x"), F.col("n_y"), percent))
-    met = x.join(y, "token").where("rep_x < rep_y and comp_x <> comp_y").where(may)
-    met = met.groupBy("rep_x", "rep_y", "doc_id_x", "doc_id_y").agg(F.count("*").alias("c"), F.max("pos_x").alias("p"), F.max("pos_y").alias("q"), F.first("n_x").alias("n"), F.first("n_y").alias("m"))
-    met = met.where(F.col("c") + F.least(F.expr("n - p - 1"), F.expr("m - q - 1")) >= _need(F.col("n"), F.col("m"), percent))
-    second = tables.keep(met.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
+    rest = rest.join(open_, "token").withColumn("before", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1)
+    rest = rest.join(of.select(F.col("doc_id").alias("with_doc"), F.col("rep").alias("first")), "with_doc", "left").join(bound, ["first", "rep"], "left")
+    rest = tables.keep(rest.select("token", "doc_id", "rep", "comp", "pos", "n", "before", F.coalesce("most", "n").alias("most")))
+    x, y = (rest.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "rep", "comp", "pos", "n", "before", "most")]) for k in "xy")
+    need = _need(F.col("n_x"), F.col("n_y"), percent)
+    may = (F.least("most_x", "most_y") >= need) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & (F.least("before_x", "before_y") + 1 + F.least(F.expr("n_x - pos_x - 1"), F.expr("n_y - pos_y - 1")) >= need)
+    pairs = x.join(y, "token").where("rep_x < rep_y and comp_x <> comp_y").where(may)
+    pairs = pairs.groupBy("rep_x", "rep_y", "doc_id_x", "doc_id_y").agg(F.count("*").alias("c"), F.max("pos_x").alias("p"), F.max("pos_y").alias("q"), F.first("n_x").alias("n"), F.first("n_y").alias("m"))
+    pairs = pairs.where(F.col("c") + F.least(F.expr("n - p - 1"), F.expr("m - q - 1")) >= _need(F.col("n"), F.col("m"), percent))
+    known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    second = tables.keep(pairs.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct().join(known, ["a", "b"], "left_anti"))
     by_rep = label.select(F.col("rep").alias("id"), "comp").distinct()
     if second.isEmpty():
         last = by_rep
     else:
-        more = _linked(docs, second, tables, width, percent)
+        more = _verified(docs, second, tables, width, percent, outside=False).where("linked")
         joined = more.join(by_rep.select(F.col("id").alias("a"), F.col("comp").alias("u")), "a").join(by_rep.select(F.col("id").alias("b"), F.col("comp").alias("v")), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
         two = components(joined, tables).select(F.col("id").alias("comp"), "component")
         last = by_rep.join(two, "comp", "left").select("id", F.coalesce("component", "comp").alias("comp"))
     last = tables.keep(last)
-    tables.drop(live, rest, first, second, links)
+    tables.drop(live, rest, first, second, met)
     out = vertices.join(last.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("comp")).alias("component_id"))
     return out.unionByName(sizes.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
