@@ -12,7 +12,8 @@ of the shingles, and any order gives the same links.
    shingle and sorted by position.  In each shingle's bucket the first entry, whose
    document has the fewest rare shingles and thus is the most central of a group of
    near copies, is compared with the others: a group of any size costs its size.
-3. Pairs that pass the length, positional and suffix filters are verified once on
+3. Pairs that pass the length and positional filters are sieved by the suffix filter, whose
+   bound comes from a bitmap of about a bit for each shingle, and verified once on
    the whole sets.  Connected components over the links follow.
 4. Entries of one bucket that are still in different components are all compared, if three
    filters let them: the positional filter, tightened by the count of shared shingles so far;
@@ -51,24 +52,40 @@ def digest(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def signature(s: np.ndarray) -> np.ndarray:
+    """A bitmap of the set's hashes, of a power of two of bits: as many as shingles, up to twice as many, at least 64."""
+    m = max(64, 1 << (len(s) - 1).bit_length())
+    on = np.zeros(m // 64, dtype=np.uint64)
+    bit = s & np.uint64(m - 1)
+    np.bitwise_or.at(on, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return on
+
+
+def at_most(x: np.ndarray, y: np.ndarray, n: int, m: int) -> int:
+    """A bound of the overlap of two sets of n and m shingles by their signatures."""
+    while len(x) != len(y):
+        x, y = (x[: len(x) // 2] | x[len(x) // 2 :], y) if len(x) > len(y) else (x, y[: len(y) // 2] | y[len(y) // 2 :])
+    return min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+
+
 def _sizes(width: int, bits: int):
-    """(doc_id, n, node) for each row, then (null, bucket, count) of the task's sketch as negative n."""
-    schema = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64())])
+    """Kind 0: (doc_id, n, node, signature) of each row; kind 1: (bucket, count) of the task's sketch."""
+    schema = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, dtype=np.int64)
         for batch in batches:
-            n, node = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            n, node, sig = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [b""] * batch.num_rows
             for i, h in W.by_text(batch.column(1)):
                 s = W.shingle_set(h, width)
                 if len(s):
-                    n[i], node[i] = len(s), digest(s)
+                    n[i], node[i], sig[i] = len(s), digest(s), signature(s).tobytes()
                     np.add.at(counts, (s >> np.uint64(64 - bits)).astype(np.int64), 1)
-            yield pa.record_batch([pa.array(np.zeros(len(n), np.int8)), batch.column(0), pa.array(n), pa.array(node)], schema=schema)
+            yield pa.record_batch([pa.array(np.zeros(len(n), np.int8)), batch.column(0), pa.array(n), pa.array(node), pa.array(sig, pa.binary())], schema=schema)
         at = np.flatnonzero(counts)
-        yield pa.record_batch([pa.array(np.ones(len(at), np.int8)), pa.array(at), pa.array(counts[at]), pa.nulls(len(at), pa.int64())], schema=schema)
+        yield pa.record_batch([pa.array(np.ones(len(at), np.int8)), pa.array(at), pa.array(counts[at]), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary())], schema=schema)
 
-    return run, "kind tinyint, doc_id long, n long, node long"
+    return run, "kind tinyint, doc_id long, n long, node long, sig binary"
 
 
 def _prefixes(width: int, percent: int, bits: int, sketch):
@@ -161,14 +178,8 @@ def _sets(width: int, wanted):
     return run, "doc_id long, s binary"
 
 
-def overlap(x: np.ndarray, y: np.ndarray, need: int) -> np.ndarray | None:
-    """Which of the ascending set y are in the ascending set x; None once the suffix filter shows that fewer than need are."""
-    if min(len(x), len(y)) < need:
-        return None
-    parts = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
-    a, b = (np.diff(np.concatenate([[0], np.searchsorted(s, parts), [len(s)]])) for s in (x, y))
-    if int(np.minimum(a, b).sum()) < need:
-        return None
+def overlap(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the ascending set y are in the ascending set x."""
     at = np.searchsorted(x, y)
     at[at == len(x)] = 0
     return x[at] == y
@@ -184,9 +195,9 @@ def _verify(percent: int, outside: bool):
             for s, t in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (s, t))
                 need = -(-percent * (len(x) + len(y)) // (100 + percent))
-                common = overlap(x, y, 0 if outside else need)
+                common = overlap(x, y)
                 n.append(len(y))
-                o.append(max(0, int(common.sum())) if common is not None else 0)
+                o.append(int(common.sum()))
                 linked.append(o[-1] >= need)
                 out.append(y[~common].view(np.int64) if outside and 2 * o[-1] >= len(y) else None)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(o, pa.int64()), pa.array(linked, pa.bool_()), pa.array(out, pa.list_(pa.int64()))], schema=schema)
@@ -194,6 +205,30 @@ def _verify(percent: int, outside: bool):
     return run, "a long, b long, n long, o long, linked boolean, outside array<long>"
 
 
+def _sieve(percent: int):
+    """(a, b, n, m, x, y) with signatures x and y to the pairs that may link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i, (n, m) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                if 100 * min(n, m) >= percent * max(n, m):
+                    x, y = (np.frombuffer(batch.column(k)[i].as_buffer(), dtype=np.uint64) for k in (4, 5))
+                    if at_most(x, y, n, m) >= -(-percent * (n + m) // (100 + percent)):
+                        keep.append(i)
+            rows = pa.array(keep, pa.int64())
+            yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows)], names=["a", "b"])
+
+    return run, "a long, b long"
+
+
+def _sieved(pairs: DataFrame, sigs: DataFrame, tables: Tables, percent: int) -> DataFrame:
+    left = pairs.join(sigs.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("sig").alias("y")), "b")
+    both = left.join(sigs.select(F.col("rep").alias("a"), "n", F.col("sig").alias("x")), "a").select("a", "b", "n", "m", "x", "y")
+    run, schema = _sieve(percent)
+    return tables.keep(both.mapInArrow(run, schema).distinct())
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, tables: Tables, width: int, percent: int, outside: bool) -> DataFrame:
     """The distinct pairs (a, b) with their overlaps."""
     # a bitmap of a fixed size keeps most other sets out of the shuffle; the joins below are exact
@@ -223,7 +258,8 @@ def similarity_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     counts[found["doc_id"].to_numpy()] = found["n"].to_numpy()
     some = sizes.where("n > 0")
     classes = some.groupBy("node", "n").agg(F.min("doc_id").alias("rep"))
-    vertices = tables.keep(some.join(classes, ["node", "n"]).select("doc_id", "n", "rep"))
+    vertices = tables.keep(some.drop("sig").join(classes, ["node", "n"]).select("doc_id", "n", "rep"))
+    sigs = some.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", "sig")
     of = vertices.where("doc_id is not null").select("doc_id", "rep").distinct()
 
     run, schema = _prefixes(width, percent, SKETCH_BITS, spark.sparkContext.broadcast(counts))
@@ -236,7 +272,7 @@ def similarity_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     named = named.join(of.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a").join(of.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b").where("ra <> rb")
     first = named.groupBy(F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y")).agg(F.min("ra").alias("a"))
     first = tables.keep(first.select("a", (F.col("x") + F.col("y") - F.col("a")).alias("b")))
-    met = _verified(docs, first, tables, width, percent, outside=True)
+    met = _verified(docs, _sieved(first, sigs, tables, percent), tables, width, percent, outside=True)
     # an id with several texts is one vertex
     split = of.groupBy("doc_id").agg(F.min("rep").alias("b"), F.count("*").alias("k")).where("k > 1").drop("k")
     again = of.join(split, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b")
@@ -267,7 +303,7 @@ def similarity_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     if second.isEmpty():
         last = by_rep
     else:
-        more = _verified(docs, second, tables, width, percent, outside=False).where("linked")
+        more = _verified(docs, _sieved(second, sigs, tables, percent), tables, width, percent, outside=False).where("linked")
         joined = more.join(by_rep.select(F.col("id").alias("a"), F.col("comp").alias("u")), "a").join(by_rep.select(F.col("id").alias("b"), F.col("comp").alias("v")), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
         two = components(joined, tables).select(F.col("id").alias("comp"), "component")
         last = by_rep.join(two, "comp", "left").select("id", F.coalesce("component", "comp").alias("comp"))
