@@ -2,10 +2,9 @@
 
 A seed is the hash of the words at the ones of a fixed mask; words at its zeros may differ.  Seeds of
 the benchmark items and of the documents are joined; around each hit the aligned words of
-the document and the item are compared.  An item leaks into a document if some stretch of the alignment
-has at least ``MATCHED`` equal words (for an item of fewer than ``MATCHED`` words: four fifths of them) and
-gains from its ends inwards with equal words counted 1 and different ones -4, so that at least four
-fifths of it are equal.  Words are runs other than ASCII white space; A-Z count as a-z.
+the document and the item are compared.  An item leaks into a document if some stretch of the alignment, at
+least four fifths of it equal, has ``MATCHED`` equal words or more (for an item of fewer than ``MATCHED`` words: four
+fifths of them).  Words are runs other than ASCII white space; A-Z count as a-z.
 
 Items shorter than the masks are sought as they stand, whole; items of fewer than ``LEAST`` words carry no
 passage that could be recognised and leak nowhere.  A null or empty text has no seeds.
@@ -105,15 +104,14 @@ def _regions(on, short: tuple[int, ...]):
 
 
 def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
-    """(equal words, start, end) of the stretch with the highest sum of 1 for equal words and -MISS for others."""
-    best, now, start, out = 0, 0, 0, (0, 0, 0)
-    for k, e in enumerate(equal.tolist()):
-        if now <= 0:
-            now, start = 0, k
-        now += 1 if e else -MISS
-        if now > best:
-            best, out = now, (0, start, k + 1)
-    return int(equal[out[1] : out[2]].sum()), out[1], out[2]
+    """(equal words, start, end) of the stretch with the most equal words of those whose sum, 1 for equal words and -MISS for others, is not negative."""
+    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -MISS))])
+    # for each end, the first start from which the sum is not negative
+    start = np.searchsorted(-np.minimum.accumulate(total), -total, "left")
+    count = np.concatenate([[0], np.cumsum(equal)])
+    end = int(np.argmax(count - count[start]))
+    at = np.flatnonzero(equal[start[end] : end]) + start[end]
+    return (len(at), int(at[0]), int(at[-1]) + 1) if len(at) else (0, 0, 0)
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
