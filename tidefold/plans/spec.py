@@ -80,6 +80,11 @@ def _mapping(x: object, what: str) -> Mapping:
     return x
 
 
+def _section(top: Mapping, name: str) -> Mapping:
+    """A section of the file; empty where it is missing or has nothing."""
+    return {} if top.get(name) is None else _mapping(top[name], name)
+
+
 def _positive(x: object, what: str) -> int:
     if isinstance(x, bool) or not isinstance(x, int) or x <= 0:
         raise ConfigError(f"{what} must be a positive integer, not {x!r}")
@@ -137,13 +142,13 @@ def parse_view(raw: object) -> ViewSpec:
 def parse_config(raw: object, env: Mapping[str, str] | None = None) -> Config:
     """A checked definition from the parsed YAML.  The environment's address goes before the file's."""
     top = _mapping(raw, "the definition file")
-    database = _mapping(top.get("database") or {}, "database")
+    database = _section(top, "database")
     dsn = (os.environ if env is None else env).get(DSN_VARIABLE) or database.get("dsn")
     if not dsn:
         raise ConfigError(f"database.dsn is missing, and {DSN_VARIABLE} is not set")
     if not isinstance(dsn, str):
         raise ConfigError("database.dsn must be text")
-    batch = _mapping(top.get("batch") or {}, "batch")
+    batch = _section(top, "batch")
     views = top.get("views")
     if not isinstance(views, list) or not views:
         raise ConfigError("views must be a list of one or more")
