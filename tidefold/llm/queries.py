@@ -59,5 +59,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": url_filter.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
+    "op5_ngram_jaccard_join": ngram_join.ORACLE,
+    "op6_secret_scan": secrets.ORACLE,
     "op7_quality_rules": quality_rules.ORACLE,
+    "op9_warc": warc.ORACLE,
 }

@@ -79,3 +79,31 @@ def scan(docs: DataFrame) -> DataFrame:
     spans = spans.select("k1", "k2", *[f"n_{k}" for k in KINDS[:3]], join(F.filter("spans", lambda x: x["kind"] < 3)).alias("base"), join(F.col("spans")).alias("spans"))
     out = d.select("doc_id", "k1", "k2").join(spans, ["k1", "k2"], "left")
     return out.select("doc_id", *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS[:3]], F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
+
+
+def _oracle() -> str:
+    """The same in DuckDB's SQL."""
+    quoted = {k: p.replace("'", "''") for k, p in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("identifier", IDENTIFIER), ("secret", SECRET), ("endpoint", ENDPOINT))}
+    rows = " UNION ALL ".join(
+        f"""SELECT r, {i} AS kind, '{k}' AS name, unnest(list_transform(range(1, len(m) + 1), lambda j: struct_pack(m := m[j], s := list_sum(list_transform(g[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:j - 1], lambda x: length(x))), 0)))) AS x
+        FROM (SELECT r, regexp_extract_all(text, '{quoted[k]}') AS m, string_split_regex(text, '{quoted[k]}') AS g FROM d WHERE regexp_matches(text, '{quoted[k]}'))"""
+        for i, k in enumerate(KINDS)
+    )
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+found AS (SELECT r, kind, name, x.m AS m, x.s AS s, x.s + length(x.m) AS e FROM ({rows})),
+fit AS (
+  SELECT *, CASE WHEN kind IN (1, 3) THEN 'id' WHEN kind = 5 THEN 'end' ELSE 'secret' END AS part FROM found
+  WHERE CASE kind WHEN 0 THEN length(regexp_extract(m, '{quoted["assign"]}', 2)) >= {LEAST_ASSIGNED} WHEN 4 THEN regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') ELSE true END),
+parts AS (SELECT * FROM fit f WHERE kind < 3 OR NOT EXISTS (FROM fit b WHERE b.r = f.r AND b.kind < 3 AND b.s < f.e AND f.s < b.e)),
+spans AS (SELECT * FROM parts p WHERE kind < 3 OR EXISTS (FROM parts o WHERE o.r = p.r AND (o.part = 'secret') <> (p.part = 'secret') AND abs(o.s - p.s) <= {SCOPE})),
+agg AS (
+  SELECT r, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2,
+    coalesce(string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (kind < 3), '') AS base, string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind, e) AS every
+  FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans
+FROM d LEFT JOIN agg USING (r)
+"""
+
+
+ORACLE = _oracle()

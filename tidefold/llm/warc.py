@@ -210,3 +210,13 @@ def round_trip(pages: DataFrame) -> DataFrame:
     to = full.groupBy("record_id").agg(F.first("page_id").alias("to"), F.first("bytes").alias("payload_bytes"), F.first("digest").alias("full"))
     again = ends.where("type = 'revisit'").join(to.withColumnRenamed("record_id", "r"), F.col("refers_to") == F.col("r"), "left")
     return out.unionByName(again.select("page_id", "payload_bytes", F.col("full").alias("payload_digest"), F.col("type").alias("record_type"), F.col("to").alias("refers_to")))
+
+
+#: The same in DuckDB's SQL.
+ORACLE = """
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS d, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+top AS (SELECT d, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY d HAVING count(*) > 1),
+r AS (SELECT p.page_id, n, p.d, top, coalesce(top IS NOT NULL AND top IS DISTINCT FROM page_id, false) AS again FROM p LEFT JOIN top ON p.d = top.d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN top END AS refers_to
+FROM r
+"""
