@@ -45,7 +45,7 @@ def _classes() -> np.ndarray:
 
 
 _CLASS = _classes()
-_N_FEATURES = 13
+_N_FEATURES = 14
 
 
 def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,6 +69,7 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     fresh = np.ones(len(h), bool)
     fresh[1:] = (h[order][1:] != h[order][:-1]) | (line[order][1:] != line[order][:-1])
     distinct = np.bincount(line[order][fresh], minlength=len(begins)).astype(np.float64)
+    twice = np.bincount(line[1:][(h[1:] == h[:-1]) & (line[1:] == line[:-1])], minlength=len(begins))
     letters = sums[1] + sums[2]
     one, w = np.maximum(size - sums[7], 1), np.maximum(n, 1)
     stop = np.add.reduceat(np.isin(part, np.frombuffer(b".?!", np.uint8)).astype(np.int32), begins)
@@ -85,6 +86,7 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
             (sums[2] > 0.6 * letters).astype(float),
             one / w / 8,
             distinct / w,
+            np.minimum(twice / w * 4, 1),
             ((distinct < 0.4 * n) & (n >= 8)).astype(float),
             np.minimum(stop / w * 4, 2),
         ],
@@ -208,7 +210,7 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS) -> Model:
 
     theta = _adam(np.zeros(k + 4), grad, steps, 0.1)
     # the transitions' weight is held to evidence between lines, not to that of one label for all lines of a text
-    trans = np.clip(theta[k:].reshape(2, 2), -2.0, 2.0)
+    trans = np.clip(theta[k:].reshape(2, 2), -1.0, 1.0)
     raw = Model(theta[:k], trans, 1.0, 0.0)
     q, target = raw.qualities(pa.array(texts, pa.large_string())), np.asarray(labels, dtype=float)
 
