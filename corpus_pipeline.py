@@ -56,8 +56,15 @@ STAGES = [
     ("mixing sources to target weights", mix),
 ]
 
-#: SQL can express neither the join's order nor the seeded choice of blocks; tests hold the stages against brute force.
-ORACLE_SQL = None
+#: DuckDB's SQL for the rows of ``run``, where the ids of the documents differ.
+ORACLE_SQL = f"""
+WITH
+p1 AS MATERIALIZED (SELECT d.* REPLACE (q.text AS text, length(q.text) AS n_chars) FROM documents d JOIN ({quality_rules.sql(text=True)}) q ON q.doc_id = d.doc_id WHERE q.kept),
+p2 AS MATERIALIZED (SELECT d.* REPLACE (q.text AS text, length(q.text) AS n_chars) FROM p1 d JOIN ({line_dedup.sql("p1")}) q ON q.doc_id = d.doc_id),
+p3 AS MATERIALIZED (SELECT d.* FROM p2 d JOIN ({ngram_join.sql("p2")}) q ON q.doc_id = d.doc_id WHERE q.doc_id = q.component_id),
+p4 AS MATERIALIZED (SELECT * FROM p3 WHERE doc_id NOT IN (SELECT doc_id FROM ({decontaminate.sql("p3")})))
+SELECT * FROM ({mixing.sql("p4")})
+"""
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

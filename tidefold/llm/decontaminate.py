@@ -156,3 +156,31 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     by_item = words.select("item_id", "item").distinct()
     out = best.join(by_item, "item").select("doc_id", "item_id", "b.*").toDF("doc_id", "item_id", "n_matched", "n_aligned", "doc_word", "item_word")
     return out.select("doc_id", "item_id", "n_matched", *[(-F.col(c)).alias(c) for c in ("n_aligned", "doc_word", "item_word")])
+
+
+def sql(docs: str = "documents") -> str:
+    """The same in DuckDB's SQL over the relation ``docs``, for items of at most ``AROUND`` words."""
+    words = r"list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+    masks = " UNION ALL ".join(f"SELECT '{m}' AS mask, {len(m)} AS span, {[k for k, on in enumerate(m) if on == '1']} AS ones" for m in MASKS)
+    return f"""
+WITH it AS (SELECT item_id, w, len(w) AS n FROM (SELECT item_id, {words} AS w FROM benchmark) WHERE len(w) >= {LEAST}),
+iw AS (SELECT DISTINCT w, n FROM it),
+dw AS (SELECT DISTINCT doc_id, w, len(w) AS n FROM (SELECT doc_id, {words} AS w FROM {docs}) WHERE len(w) > 0),
+ma AS ({masks} UNION ALL SELECT DISTINCT 'whole' || n, n, range(0, n) FROM iw WHERE n < {SPAN}),
+ds AS (SELECT doc_id, w, p, mask, list_transform(ones, lambda o: w[p + o]) AS seed FROM (SELECT doc_id, w, mask, ones, unnest(range(1, n - span + 2)) AS p FROM dw, ma WHERE n >= span)),
+si AS (SELECT w, p, mask, list_transform(ones, lambda o: w[p + o]) AS seed FROM (SELECT w, mask, ones, unnest(range(1, n - span + 2)) AS p FROM iw, ma WHERE n >= span AND (n >= {SPAN}) = (mask NOT LIKE 'whole%') AND (n >= {SPAN} OR span = n))),
+al AS (SELECT row_number() OVER () AS a, * FROM (SELECT DISTINCT doc_id, ds.w AS x, si.w AS y, ds.p - si.p AS shift FROM ds JOIN si USING (mask, seed))),
+eq AS (SELECT a, j, coalesce(x[j + shift + 1] = y[j + 1], false) AS same FROM (SELECT a, x, y, shift, unnest(range(greatest(0, -shift), least(len(y), len(x) - shift))) AS j FROM al)),
+pr AS (SELECT a, j, same, sum(CASE WHEN same THEN 1 ELSE -{MISS} END) OVER u AS t, count(*) FILTER (same) OVER u AS c FROM eq WINDOW u AS (PARTITION BY a ORDER BY j)),
+ends AS (SELECT a, j + 1 AS j, t, c FROM pr UNION ALL SELECT a, min(j), 0, 0 FROM pr GROUP BY a),
+st AS (SELECT e.a, e.c - s.c AS m, e.j AS e, s.j AS s FROM ends e JOIN ends s ON e.a = s.a AND s.j < e.j AND e.t >= s.t),
+be AS (SELECT a, m, e, s FROM st QUALIFY row_number() OVER (PARTITION BY a ORDER BY m DESC, e, s) = 1),
+tr AS (SELECT be.a, any_value(m) AS m, min(j) AS lo, max(j) + 1 AS hi FROM be JOIN eq ON eq.a = be.a AND same AND j >= s AND j < e GROUP BY be.a),
+lk AS (SELECT doc_id, y, m, hi - lo AS n, lo + shift AS dw, lo AS iw FROM tr JOIN al USING (a) WHERE m >= least({MATCHED}, (4 * len(y) + 4) // 5)),
+one AS (SELECT * FROM lk QUALIFY row_number() OVER (PARTITION BY doc_id, y ORDER BY m DESC, n, dw, iw) = 1)
+SELECT DISTINCT doc_id, item_id, CAST(m AS BIGINT) AS n_matched, CAST(one.n AS BIGINT) AS n_aligned, CAST(dw AS BIGINT) AS doc_word, CAST(iw AS BIGINT) AS item_word
+FROM one JOIN it ON it.w = one.y
+"""
+
+
+ORACLE = sql()

@@ -68,9 +68,11 @@ def clean(docs: DataFrame, sites: int = SITES, most_percent: int = MOST_PERCENT,
     return d.select("doc_id", text.alias("text"), F.when(F.col("text").isNotNull(), full).otherwise(0).alias("n_lines"), F.when(F.col("few"), F.size("cut")).otherwise(0).alias("n_removed"), *["row"] * bool(carry))
 
 
-#: The same in DuckDB's SQL, with exact counts throughout.
-ORACLE = r"""
-WITH d AS (SELECT doc_id, text, coalesce(source, chr(0)) AS site, string_split(text, chr(10)) AS lines FROM documents),
+
+def sql(docs: str = "documents") -> str:
+    """The same in DuckDB's SQL over the relation ``docs``, with exact counts throughout."""
+    return rf"""
+WITH d AS (SELECT doc_id, text, coalesce(source, chr(0)) AS site, string_split(text, chr(10)) AS lines FROM {docs}),
 l AS (SELECT site, unnest(list_distinct(list_transform(lines, lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))))) AS line FROM d),
 common AS (SELECT line FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= 8),
 gone AS (SELECT list(line) AS gone FROM common),
@@ -85,3 +87,6 @@ SELECT doc_id,
   CAST(CASE WHEN few THEN len(cut) ELSE 0 END AS INTEGER) AS n_removed
 FROM f
 """
+
+
+ORACLE = sql()

@@ -17,7 +17,7 @@ An empty corpus gives no rows; a corpus without words takes nothing.  Further co
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidefold.llm._shared import WORD, Tables, own_columns
@@ -27,6 +27,12 @@ WEIGHTS, MOST, SEED, SHARD_WORDS = (5, 2, 1), 3, 17, 1 << 20
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549)
 
 
+def _dice(*parts) -> Column:
+    """A seeded number of 60 bits that other engines can compute too: the first digits of an MD5."""
+    text = F.concat_ws(":", *[F.coalesce(F.col(x).cast("string"), F.lit("null")) if isinstance(x, str) else F.lit(x) for x in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def ranked(df: DataFrame, column: str, tables: Tables) -> DataFrame:
     """``df`` with ``rank`` from 0 in the order of a distinct column, null last; no task gets all rows."""
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
@@ -69,7 +75,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     sources = sources.withColumn("ratio", F.when(F.col("source_size") > 0, F.least(seats * block / F.col("source_size"), F.lit(float(most)))).otherwise(0.0))
     sources = sources.withColumn("shards", F.ceil(F.greatest(F.col("source_size"), F.lit(1)) / shard_words))
     dealt = sizes.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    dealt = dealt.withColumn("dice", F.xxhash64(F.lit(seed), "doc_id")).withColumn("shard", F.pmod("dice", "shards"))
+    dealt = dealt.withColumn("dice", _dice(seed, "doc_id")).withColumn("shard", F.col("dice") % F.col("shards"))
     dealt = dealt.select("doc_id", "size", "source_size", "target", "ratio", "rank", "shard", "dice")
 
     shards = dealt.groupBy("rank", "shard").agg(F.sum("size").alias("words"), F.first("ratio").alias("ratio"))
@@ -81,9 +87,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     down = F.row_number().over(whole.orderBy(F.when(F.col("q") > 0, F.col("ideal") / (2 * F.col("q") - 1)).asc_nulls_last(), "shard"))
     shards = shards.withColumn("q", F.col("q") + F.when((F.col("over") > 0) & (up <= F.col("over")), 1).when((F.col("over") < 0) & (down <= -F.col("over")), -1).otherwise(0))
     shards = shards.withColumn("q", F.greatest(F.lit(0), F.least("q", F.col("blocks") * most)))
-    turn = F.xxhash64(F.lit(seed), "rank", "shard")
-    prime = F.element_at(F.array(*[F.lit(p) for p in PRIMES]), (F.pmod(turn, F.lit(len(PRIMES))) + 1).cast("int")).cast("long")
-    shards = tables.keep(shards.select("rank", "shard", "words", "blocks", (F.expr("q div blocks")).alias("full"), (F.col("q") % F.col("blocks")).alias("extra"), prime.alias("prime"), F.pmod(turn, "blocks").alias("first")))
+    turn = _dice(seed, "rank", "shard")
+    prime = F.element_at(F.array(*[F.lit(p) for p in PRIMES]), (turn % len(PRIMES) + 1).cast("int")).cast("long")
+    shards = tables.keep(shards.select("rank", "shard", "words", "blocks", (F.expr("q div blocks")).alias("full"), (F.col("q") % F.col("blocks")).alias("extra"), prime.alias("prime"), (turn % F.col("blocks")).alias("first")))
 
     stream = Window.partitionBy("rank", "shard").orderBy("dice", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = dealt.withColumn("end", F.sum("size").over(stream)).withColumn("at", F.col("end") - F.col("size"))
@@ -94,3 +100,44 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     )
     taken = F.when(F.col("size") > 0, F.col("full") * F.col("size") + F.when(F.col("extra") > 0, extra).otherwise(0)).otherwise(0)
     return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def sql(docs: str = "documents") -> str:
+    """The same in DuckDB's SQL, with the default parameters, over the relation ``docs``."""
+    return rf"""
+WITH z AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) END AS size FROM {docs}),
+so AS (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM z GROUP BY source),
+ra AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM so),
+we AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM ra),
+tt AS (SELECT sum(n) AS total, greatest(1, least(1024, sum(n) // (2000 * count(*)))) AS block FROM so),
+-- the sources that stop at their limit are the first k in the order of limit over weight
+o AS (SELECT *, row_number() OVER (ORDER BY n::DOUBLE / w, rank) AS k FROM we),
+c AS (SELECT k, n, w, coalesce(sum(3 * n) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held, sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free FROM o),
+l AS (SELECT (total - held)::DOUBLE / free::DOUBLE AS share FROM c, tt WHERE 3 * n >= w * ((total - held)::DOUBLE / free::DOUBLE) ORDER BY k LIMIT 1),
+ta AS (SELECT we.*, least(w * share, (3 * n)::DOUBLE) AS target, greatest(1, n) AS least_n FROM we, l),
+st AS (
+  SELECT ta.*, CASE WHEN n > 0 THEN least(floor(target / block + 0.5) * block / n, 3.0) ELSE 0 END AS ratio, CAST(ceil(least_n / {SHARD_WORDS}) AS BIGINT) AS shards FROM ta, tt),
+de AS (
+  SELECT doc_id, size, n, target, ratio, rank, ('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15))::BIGINT AS dice, shards
+  FROM z JOIN st ON z.source IS NOT DISTINCT FROM st.source),
+dd AS (SELECT *, dice % shards AS shard FROM de),
+s1 AS (SELECT rank, shard, CAST(sum(size) AS BIGINT) AS words, any_value(ratio) AS ratio FROM dd GROUP BY rank, shard),
+s2 AS (SELECT *, CAST(greatest(1, ceil(words / block)) AS BIGINT) AS blocks FROM s1, tt),
+s3 AS (SELECT *, ratio * blocks AS ideal, CAST(floor(ratio * blocks + 0.5) AS BIGINT) AS q FROM s2),
+s4 AS (
+  SELECT *, CAST(floor(sum(ideal) OVER r + 0.5) AS BIGINT) - CAST(sum(q) OVER r AS BIGINT) AS over_,
+    row_number() OVER (PARTITION BY rank ORDER BY ideal / (2 * q + 1) DESC, shard) AS up, row_number() OVER (PARTITION BY rank ORDER BY CASE WHEN q > 0 THEN ideal / (2 * q - 1) END ASC NULLS LAST, shard) AS down
+  FROM s3 WINDOW r AS (PARTITION BY rank)),
+s5 AS (SELECT rank, shard, words, blocks, greatest(0, least(q + CASE WHEN over_ > 0 AND up <= over_ THEN 1 WHEN over_ < 0 AND down <= -over_ THEN -1 ELSE 0 END, 3 * blocks)) AS q,
+  ('0x' || substr(md5('{SEED}:' || rank || ':' || shard), 1, 15))::BIGINT AS turn FROM s4),
+s6 AS (SELECT *, q // blocks AS whole, q % blocks AS extra, [{", ".join(map(str, PRIMES))}][turn % {len(PRIMES)} + 1]::BIGINT AS prime, turn % blocks AS first_ FROM s5),
+pl AS (SELECT *, CAST(sum(size) OVER (PARTITION BY rank, shard ORDER BY dice, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS e FROM dd),
+po AS (SELECT *, e - size AS b FROM pl)
+SELECT doc_id, CAST(size AS BIGINT) AS size, n AS source_size, target,
+  CAST(CASE WHEN size > 0 THEN whole * size + coalesce(list_sum(list_transform(range(((b + 1) * blocks - 1) // words, (e * blocks - 1) // words + 1),
+    lambda j: CASE WHEN (j * prime + first_) % blocks < extra THEN least(e, (j + 1) * words // blocks) - greatest(b, j * words // blocks) ELSE 0 END)), 0) ELSE 0 END AS BIGINT) AS taken
+FROM po JOIN s6 USING (rank, shard)
+"""
+
+
+ORACLE = sql()

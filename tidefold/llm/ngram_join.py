@@ -313,12 +313,13 @@ def similarity_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     return out.unionByName(sizes.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-#: The same in DuckDB's SQL.
-ORACLE = r"""
+def sql(docs: str = "documents") -> str:
+    """The same in DuckDB's SQL over the relation ``docs``."""
+    return rf"""
 WITH RECURSIVE
 w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
-  FROM documents),
+  FROM {docs}),
 s AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
   FROM w),
@@ -329,5 +330,8 @@ edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
 least_id AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.b, d.doc_id)) AS component_id
-FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least_id l ON l.a = d.doc_id
+FROM {docs} d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least_id l ON l.a = d.doc_id
 """
+
+
+ORACLE = sql()

@@ -111,16 +111,19 @@ def judge(docs: DataFrame, text: bool = False, carry: list[str] | None = None) -
     return d.select(*out, *["row"] * bool(carry))
 
 
-#: The same in DuckDB's SQL.
-ORACLE = r"""
-WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+
+def sql(docs: str = "documents", text: bool = False) -> str:
+    """The same in DuckDB's SQL over the relation ``docs``."""
+    more = ", cleaned AS text" if text else ""
+    return rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM {docs}),
 w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, string_split(t, chr(10)) AS lines FROM d),
 win AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS x FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8)),
 dup AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS k FROM win) WHERE k > 1),
 rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM dup) GROUP BY r),
-ln AS (SELECT r, x, list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda y: y <> '') AS w FROM (SELECT r, unnest(lines) AS x FROM w)),
+ln AS (SELECT r, k, x, list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda y: y <> '') AS w FROM (SELECT r, unnest(lines) AS x, generate_subscripts(lines, 1) AS k FROM w)),
 f AS (
-  SELECT r, x, len(w) AS n, len(w) > 0 AND (
+  SELECT r, k, x, len(w) AS n, len(w) > 0 AND (
     2 * (length(x) - length(translate(x, '#*$%&|<>', ''))) >= len(w)
     OR (len(w) >= 5 AND upper(x) = x AND lower(x) <> x)
     OR 5 * len(list_filter(w, lambda y: y IN ('|', '||', '»', '›', '>', '>>', '·', '•', '/', '-', '–', '::'))) >= len(w)
@@ -128,13 +131,16 @@ f AS (
     OR (len(w) < 25 AND regexp_matches(lower(x), 'all rights reserved|licensed under|released under the|terms of use|terms of service|privacy policy|cookie policy|use cookies|enable javascript|copyright ©'))
     OR (len(w) >= 8 AND 5 * len(list_distinct(w)) < 2 * len(w))) AS fails
   FROM ln),
-g AS (SELECT r, coalesce(sum(n) FILTER (fails), 0) AS lost, count(*) FILTER (fails) AS n_failed, count(*) FILTER (n > 0) - count(DISTINCT x) FILTER (n > 0) AS dup_lines FROM f GROUP BY r),
+g AS (SELECT r, coalesce(sum(n) FILTER (fails), 0) AS lost, count(*) FILTER (fails) AS n_failed, count(*) FILTER (n > 0) - count(DISTINCT x) FILTER (n > 0) AS dup_lines, coalesce(string_agg(x, chr(10) ORDER BY k) FILTER (NOT fails), '') AS cleaned FROM f GROUP BY r),
 b AS (
   SELECT w.doc_id, len(w.w) AS n_words, length(translate(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS word_chars,
-    length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, dup_lines, coalesce(rep.n, 0) AS rep_n, lost, n_failed
+    length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, dup_lines, coalesce(rep.n, 0) AS rep_n, lost, n_failed, cleaned
   FROM w JOIN g USING (r) LEFT JOIN rep USING (r))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(dup_lines AS BIGINT) AS n_dup_lines,
   CAST(rep_n AS BIGINT) AS n_repeat_words, n_words < 20 OR 100 * rep_n > 30 * n_words AS base_failed,
-  NOT (n_words < 20 OR 100 * rep_n > 30 * n_words) AND 100 * lost <= 50 * n_words AS kept, CAST(n_failed AS BIGINT) AS n_failed_lines
+  NOT (n_words < 20 OR 100 * rep_n > 30 * n_words) AND 100 * lost <= 50 * n_words AS kept, CAST(n_failed AS BIGINT) AS n_failed_lines{more}
 FROM b
 """
+
+
+ORACLE = sql()

@@ -57,10 +57,12 @@ _ALL = (op1_quality_classifier, op2_source_mixing, op3_url_filter, op4_line_dedu
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_source_mixing": mixing.ORACLE,
     "op3_url_filter": url_filter.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op5_ngram_jaccard_join": ngram_join.ORACLE,
     "op6_secret_scan": secrets.ORACLE,
     "op7_quality_rules": quality_rules.ORACLE,
+    "op8_benchmark_decontamination": decontaminate.ORACLE,
     "op9_warc": warc.ORACLE,
 }
