@@ -106,6 +106,11 @@ TEXT = "A title & more First paragraph of some length, which says a lot of thing
         (f"<body><div class=top><a href=1>One</a> <a href=2>Two</a></div><div class=content>{ARTICLE}</div><div class='ad'>Buy this thing now, it is very good and cheap.</div>", TEXT),
         (f"<body><article>{ARTICLE}<p>cut off in the mid", TEXT + " cut off in the mid"),
         (f"<body><article><![if IE]>{ARTICLE}<!-- note --></article>", TEXT),
+        (f"<body><div class='page with-sidebar'><article>{ARTICLE}</article><div class=sidebar><p>Other things that are here.</p></div></div>", TEXT),
+        (f"<body><form id=aspnet><div id=menu><a href=1>One</a></div><div>{ARTICLE}</div></form>", TEXT),
+        (f"<body><article>{ARTICLE}</article><section class=comments><article><p>{'A reader says a lot more than the article. ' * 20}</p></article></section>", TEXT),
+        (f"<div id=header><p>Name of the site</p></div><div id=content>{ARTICLE}</div><div id=footer><p>Some words at the end.</p></div>", TEXT),
+        (f"<article>{ARTICLE}<ul class='share-links'><li>Share</li></ul><aside><p>Aside of some length here.</p></aside></article>", TEXT),
         ("just a plain text", "just a plain text"),
         ("<p>a < b and &lt;tag&gt; &unknown; x</p>", "a < b and <tag> &unknown; x"),
     ],

@@ -6,7 +6,9 @@ with a Gaussian along the page; lines above ``THRESHOLD`` standard deviations of
 cluster of content lines.  The content region is the outermost ``article`` elements that hold content lines, else ``main``,
 else the smallest container with three quarters of the content lines' characters.  All lines of the region are
 kept, but for those in menus, headers, footers, sidebars, notices, adverts, forms and reader comments (by
-tag, role, class or id), and in regions without an article, those that are mostly links.
+tag, role, class or id), and in regions without an article, those that are mostly links.  A form, or an element whose
+class or id only names a part of the layout ("with-sidebar"), is kept if it holds the article: an ``article`` or ``main``
+element, or on a page without one, more than ``MOST`` of the text.
 
 ``extract`` returns one row per row of the input: ``page_id, url, text, n_chars``.  Character references are
 decoded, white space in a line becomes one space, lines are joined in page order by one space.  Null,
@@ -28,36 +30,40 @@ from pyspark.sql import functions as F
 
 from tidefold.llm._shared import own_columns
 
-SIGMA, THRESHOLD, SHARE, FEED = 1.0, 0.5, 0.75, 1 << 16
+SIGMA, THRESHOLD, SHARE, MOST, FEED = 1.0, 0.5, 0.75, 0.7, 1 << 16
 
 #: Elements by role in the extraction.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-DROPPED = frozenset("nav header footer aside form script style noscript template button select textarea option iframe object svg head title dialog menu audio video canvas math".split())
+DROPPED = frozenset("nav header footer aside script style noscript template button select textarea option iframe object svg head title dialog menu audio video canvas math".split())
 CONTAINERS = frozenset("html body div section article main td center".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar status toolbar".split())
-#: Words of class names and ids that mark what is not the article.
-NOT_ARTICLE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner sidebar sidebars menu menus nav navbar navigation navi breadcrumb breadcrumbs "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments commentlist "
-    "commentary respond responses disqus reply replies reactions discussion widget widgets toolbar pagination pager login paywall disclaimer footer masthead toc skip".split()
+#: Words of class names and ids that mark adverts and what readers wrote, and those that mark parts of the layout.
+NEVER_ARTICLE = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors comment comments commentlist respond responses disqus reply replies reactions discussion".split())
+LAYOUT = frozenset(
+    "promo promos promotion banner sidebar sidebars menu menus nav navbar navigation navi breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert popup modal overlay "
+    "newsletter subscribe subscription signup share sharing social related recommended recommendations widget widgets toolbar pagination pager login paywall disclaimer footer masthead toc skip".split()
 )
-#: Whole class names and ids that do.
-NOT_ARTICLE_WHOLE = frozenset("header site-header page-header top-header header-top topbar top-bar copyright site-info search searchbox search-form search-box legal".split())
+#: Whole class names and ids that mark parts of the layout.
+LAYOUT_WHOLE = frozenset("header site-header page-header top-header header-top topbar top-bar copyright site-info search searchbox search-form search-box legal".split())
 _WORDS = re.compile(r"[a-z]+")
 
 
-def _marked(attrs: list[tuple[str, str | None]]) -> bool:
+def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> str:
+    """"never" if an element is not the article for sure, "layout" if it may only be named after such a part, else ""."""
+    layout = tag == "form"
     for name, value in attrs:
         if name in ("class", "id") and value:
             low = value.lower()
-            if not NOT_ARTICLE.isdisjoint(_WORDS.findall(low)) or not NOT_ARTICLE_WHOLE.isdisjoint(low.split()):
-                return True
+            found = _WORDS.findall(low)
+            if not NEVER_ARTICLE.isdisjoint(found):
+                return "never"
+            layout = layout or not LAYOUT.isdisjoint(found) or not LAYOUT_WHOLE.isdisjoint(low.split())
         elif name == "role" and value and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return "never"
         elif name == "style" and value and "display:none" in value.replace(" ", "").lower():
-            return True
-    return False
+            return "never"
+    return "layout" if layout else ""
 
 
 class _Lines(HTMLParser):
@@ -65,9 +71,10 @@ class _Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, whether what is in it is dropped, container
+        self.open: list[tuple[str, bool, int, tuple[int, ...]]] = []  # tag, whether what is in it is dropped, container, layout marks
         self.parent, self.kind = [-1], ["page"]
-        self.lines: list[tuple[str, int, int, int]] = []
+        self.marks, self.held = 0, set()  # layout marks so far, and those with an article in them
+        self.lines: list[tuple[str, int, int, int, tuple[int, ...]]] = []
         self.parts: list[str] = []
         self.tags = self.linked = self.links = 0
 
@@ -75,7 +82,7 @@ class _Lines(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.lines.append((text, max(1, self.tags), self.linked, self.open[-1][2] if self.open else 0))
+                self.lines.append((text, max(1, self.tags), self.linked, *(self.open[-1][2:] if self.open else (0, ()))))
             self.parts.clear()
         self.tags = self.linked = 0
 
@@ -90,14 +97,22 @@ class _Lines(HTMLParser):
             if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option"):
                 self._imply_end(tag)
         self.tags += 1
-        dropped, container = (self.open[-1][1], self.open[-1][2]) if self.open else (False, 0)
-        dropped = dropped or tag in DROPPED or bool(attrs) and tag not in ("html", "body") and _marked(attrs)
+        dropped, container, marks = self.open[-1][1:] if self.open else (False, 0, ())
+        dropped = dropped or tag in DROPPED
+        if not dropped and (attrs or tag == "form") and tag not in ("html", "body"):
+            mark = _marked(tag, attrs)
+            dropped = mark == "never"
+            if mark == "layout":
+                marks = (*marks, self.marks)
+                self.marks += 1
+        if tag in ("article", "main") and not dropped:
+            self.held.update(marks)
         if tag in CONTAINERS and not dropped:
             self.parent.append(container)
             self.kind.append(tag)
             container = len(self.parent) - 1
         self.links += tag == "a"
-        self.open.append((tag, dropped, container))
+        self.open.append((tag, dropped, container, marks))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID or tag not in INLINE and tag not in CONTAINERS | DROPPED | {"p"}:
@@ -176,6 +191,17 @@ def _region(page: _Lines, content: np.ndarray, sizes: np.ndarray) -> tuple[list[
     return inside, bool(kind)
 
 
+def _without_layout(page: _Lines) -> None:
+    """Leave out the lines in layout elements, unless those hold the article."""
+    mass, total = [0] * page.marks, sum(len(x[0]) for x in page.lines)
+    for x in page.lines:
+        for m in x[4]:
+            mass[m] += len(x[0])
+    marked = "article" in page.kind or "main" in page.kind
+    held = page.held if marked else {m for m in range(page.marks) if mass[m] > MOST * total}
+    page.lines = [x for x in page.lines if held.issuperset(x[4])]
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -184,6 +210,8 @@ def main_text(html: str | None) -> str:
         page.feed(html[i : i + FEED])
     page.close()
     page.end_line()
+    if page.marks:
+        _without_layout(page)
     if not page.lines:
         return ""
     sizes = np.array([len(x[0]) - min(x[2], len(x[0])) for x in page.lines], dtype=float)
