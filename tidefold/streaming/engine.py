@@ -35,7 +35,7 @@ class Engine:
     ``at``: called with the name of each step of a commit, for tests that stop there.
     """
 
-    def __init__(self, spark: SparkSession, config: Config, root: str, buckets: int = 16, at: Callable[[str], None] = lambda step: None) -> None:
+    def __init__(self, spark: SparkSession, config: Config, root: str, buckets: int = 32, at: Callable[[str], None] = lambda step: None) -> None:
         self.spark, self.config, self.buckets, self.at = spark, config, buckets, at
         self.store = CommitStore(spark, root)
         self.views = {v.name: v for v in config.views}
@@ -89,7 +89,8 @@ class Engine:
     def _write(self, view: ViewSpec, state: DataFrame, source: T.StructType) -> ViewVersion:
         schema, folder = algebra.state_schema(view, source), self.store.new_folder(view.name)
         placed = state.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema], self._bucket(view))
-        (placed.repartition(self.buckets, BUCKET) if view.group_by else placed).write.partitionBy(BUCKET).parquet(folder)
+        # by bucket, so that each has few files; Spark splits buckets that are large and joins small ones
+        (placed.hint("rebalance", F.col(BUCKET)) if view.group_by else placed).write.partitionBy(BUCKET).parquet(folder)
         return ViewVersion(schema.jsonValue(), source.jsonValue(), {b: f"{folder}/{BUCKET}={b}" for b in self._there(folder)})
 
     def _there(self, folder: str) -> list[str]:
