@@ -131,6 +131,16 @@ def test_truncate(spark, orders, tmp_path):
     agree(engine, few)
 
 
+def test_resync_and_metrics(spark, orders, tmp_path):
+    engine = make(spark, tmp_path / "s")
+    engine.setup({q.TABLE: orders.where("id < 100")}, 5)
+    engine.resync("by_status", orders)
+    v = VIEWS[0]
+    assert verify.differences(v, verify.ground_truth(v, orders), engine.view("by_status")).isEmpty()
+    assert engine.manifest().checkpoint_lsn == 5 and engine.view("everything").first()["order_count"] == 100
+    assert 'tidefold_view_rows{slot="tidefold",view="everything"} 1' in engine.metrics()
+
+
 def test_setup_rules(spark, orders, tmp_path):
     engine = make(spark, tmp_path / "s")
     with pytest.raises(EngineError, match="setup"):

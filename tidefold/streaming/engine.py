@@ -66,6 +66,15 @@ class Engine:
     def teardown(self) -> None:
         self.store.remove_all()
 
+    def resync(self, name: str, snapshot: DataFrame) -> Manifest:
+        """Backfill one view again from its source as of the checkpoint; the others and the position stay."""
+        m, view = self.manifest(), self.views[name]
+        algebra.check_source(view, snapshot.schema)
+        made = self._write(view, algebra.backfill(view, snapshot), snapshot.schema)
+        after = Manifest(m.number + 1, m.slot, m.checkpoint_lsn, m.batch_id, m.views | {name: made})
+        self.store.publish(after)
+        return after
+
     # reading
 
     def manifest(self) -> Manifest:
@@ -189,3 +198,11 @@ class Engine:
         rows = {v: self.state(v, m).count() if m and v in m.views else None for v in self.views}
         at = m.checkpoint_lsn if m else None
         return {"slot": self.config.slot, "exists": m is not None, "active": bool(query and query.isActive), "checkpoint_lsn": at, "acknowledged_lsn": acknowledged, "current_lsn": latest, "lag": None if at is None or latest is None else max(0, latest - at), "updated_at": m.updated_at if m else None, "views": rows}
+
+    def metrics(self, log_path: str | None = None, query: StreamingQuery | None = None) -> str:
+        """The status in the text format that Prometheus scrapes."""
+        info = self.status(log_path, query)
+        found = {"up": int(info["active"]), "checkpoint_lsn": info["checkpoint_lsn"], "current_lsn": info["current_lsn"], "lag": info["lag"]}
+        lines = [f'tidefold_{k}{{slot="{self.config.slot}"}} {v}' for k, v in found.items() if v is not None]
+        lines += [f'tidefold_view_rows{{slot="{self.config.slot}",view="{k}"}} {v}' for k, v in info["views"].items() if v is not None]
+        return "\n".join(lines) + "\n"
