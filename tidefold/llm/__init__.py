@@ -1,12 +1 @@
-"""Operators for preparing large text corpora for training.
-
-Nothing else in the library imports this subpackage.  Python functions that run
-on executors are shipped by value, so a cluster's workers need not have the
-package on their path.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+"""Operators for preparing large text corpora for training.  Nothing else in the library imports this subpackage."""

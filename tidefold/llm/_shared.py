@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidefold.functions.shared import shared_dir
+
 #: Separators of words in every contract: space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="tidefold-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 class Tables:
     """Intermediate results written as Parquet below the shared folder.
 
@@ -53,6 +45,16 @@ def lower_ascii(c: Column | str) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def only(df: DataFrame, condition: Column | str) -> DataFrame:
+    """The rows for which a costly condition holds.
+
+    ``where`` would be moved below the projections that the condition reads, and evaluate all of them once more for each
+    place where they are used.  A generator stays where it is.
+    """
+    held = F.expr(condition) if isinstance(condition, str) else condition
+    return df.select(F.inline(F.when(held, F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns])))))
+
+
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
     """The named columns; one that is absent is null.  Further columns, whatever their names, are left out."""
     there = {f.name for f in df.schema}

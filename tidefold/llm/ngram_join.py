@@ -257,9 +257,10 @@ def similarity_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     counts[found["doc_id"].to_numpy()] = found["n"].to_numpy()
     some = sizes.where("n > 0")
-    classes = some.groupBy("node", "n").agg(F.min("doc_id").alias("rep"))
-    vertices = tables.keep(some.drop("sig").join(classes, ["node", "n"]).select("doc_id", "n", "rep"))
-    sigs = some.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", "sig")
+    # classes of one are most; the others are written first, so that the join with a class of very many rows can be split
+    classes = tables.keep(some.groupBy("node", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("k")).where("k > 1").drop("k"))
+    vertices = tables.keep(some.drop("sig").join(classes, ["node", "n"], "left").select("doc_id", "n", F.coalesce("first", "doc_id").alias("rep")))
+    sigs = some.join(vertices.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", "sig")
     of = vertices.where("doc_id is not null").select("doc_id", "rep").distinct()
 
     run, schema = _prefixes(width, percent, SKETCH_BITS, spark.sparkContext.broadcast(counts))
