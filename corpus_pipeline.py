@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidefold.llm import decontaminate, line_dedup, mixing, ngram_join, quality_rules
-from tidefold.llm._shared import Tables
+from tidefold.llm._shared import Tables, only
 
 
 def _texts(docs: DataFrame, cleaned: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def _texts(docs: DataFrame, cleaned: DataFrame) -> DataFrame:
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines go from every text, and the documents that are not kept go whole."""
     judged = quality_rules.judge(docs, text=True, carry=docs.columns)
-    return _texts(docs, judged.where("kept").withColumnRenamed("text", "cleaned"))
+    return _texts(docs, only(judged, "kept").withColumnRenamed("text", "cleaned"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
