@@ -280,7 +280,7 @@ def similarity_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     one = tables.keep(components(met.where("linked").select("a", "b").unionByName(again), tables))
 
     # the pivot bound: most that b can share with another document in which a is the first of the bucket
-    near = met.where("not linked and outside is not null").select("a").distinct()
+    near = tables.keep(met.where("not linked and outside is not null").select("a").distinct())
     outer = met.join(near, "a", "left_semi").select("a", "b", F.explode("outside").alias("t"))
     common = outer.groupBy("a", "t").agg(F.count("*").alias("k")).where("k > 1").drop("k")
     extra = outer.join(common, ["a", "t"]).groupBy("a", "b").agg(F.count("*").alias("k"))
