@@ -104,7 +104,7 @@ def test_stream_restarts_where_it_was(spark, orders, tmp_path):
             query.processAllAvailable()
             assert engine.status(f"{tmp_path}/log", query)["active"]
         finally:
-            query.stop()
+            engine.stop(query)
         assert engine.manifest().checkpoint_lsn == upto
     agree(engine, final(orders))
     status = engine.status(f"{tmp_path}/log")

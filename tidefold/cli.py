@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import logging
+import signal
 import sys
 from collections.abc import Sequence
 
@@ -90,7 +91,13 @@ def _do(args: argparse.Namespace) -> int:
         engine.setup(_snapshots(spark, config, args.tables), latest_lsn(args.log) if args.log else 0, force=args.force)
         print(f"{len(config.views)} views are set up; next: tidefold run -c {args.config} --root {args.root}")
     elif args.command == "run":
-        engine.run(args.log, args.checkpoint).awaitTermination()
+        asked: list[int] = []
+        for s in (signal.SIGINT, signal.SIGTERM):
+            signal.signal(s, lambda number, frame: asked.append(number))
+        query = engine.run(args.log, args.checkpoint)
+        while not asked and not query.awaitTermination(1):
+            pass
+        engine.stop(query)
     elif args.command == "status":
         print(table(engine.status(args.log)))
     else:

@@ -170,6 +170,14 @@ class Engine:
 
         return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(processingTime=f"{poll_ms or self.config.max_ms} milliseconds").start()
 
+    @staticmethod
+    def stop(query: StreamingQuery, seconds: float = 60) -> None:
+        """Stop between two micro-batches; one that takes longer than ``seconds`` is broken off, which loses nothing."""
+        end = time.time() + seconds
+        while query.isActive and query.status["isTriggerActive"] and time.time() < end:
+            time.sleep(0.02)
+        query.stop()
+
     def catch_up(self, log_path: str, upto: int | None = None, max_txns: int | None = None) -> Manifest:
         """Apply a log's files up to a position by Spark's own scan, in batches of about ``max_txns`` transactions (all at once by default)."""
         m, held, txns = self.manifest(), None, 0
