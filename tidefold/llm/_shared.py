@@ -28,9 +28,15 @@ class Tables:
         self.made += 1
         return f"{self.root}/{self.made:03d}"
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        path = self.new_path()
-        df.write.parquet(path)
+    def keep(self, df: DataFrame, batch: int | None = None) -> DataFrame:
+        """The table written and read again; ``batch``: rows that Python gets at once while it is written."""
+        path, at = self.new_path(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(at)
+        try:
+            self.spark.conf.set(at, str(batch or before))
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(at, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tables: DataFrame) -> None:

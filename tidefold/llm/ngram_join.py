@@ -46,6 +46,8 @@ from tidefold.llm._bits import among, bitmap
 from tidefold.llm._shared import Tables, components, own_columns
 
 WIDTH, PERCENT, SKETCH_BITS = 5, 80, 18
+#: Texts or pairs of sets that a Python worker holds at once.
+TEXTS, SETS = 1000, 200
 
 
 def digest(s: np.ndarray) -> int:
@@ -238,7 +240,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, tables: Tables, width: int, per
     left = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("t")), "b")
     both = left.join(sets.select(F.col("doc_id").alias("a"), "s"), "a").select("a", "b", "s", "t")
     run, schema = _verify(percent, outside)
-    return tables.keep(both.mapInArrow(run, schema))
+    return tables.keep(both.mapInArrow(run, schema), SETS)
 
 
 def _need(n, m, percent: int):
@@ -251,7 +253,7 @@ def similarity_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     tables = Tables(spark, "ngram-join")
     docs = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     run, schema = _sizes(width, SKETCH_BITS)
-    both = tables.keep(docs.mapInArrow(run, schema))
+    both = tables.keep(docs.mapInArrow(run, schema), TEXTS)
     sizes = both.where("kind = 0").drop("kind")
     found = both.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
@@ -266,7 +268,7 @@ def similarity_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     run, schema = _prefixes(width, percent, SKETCH_BITS, spark.sparkContext.broadcast(counts))
     entries = docs.mapInArrow(run, schema).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token").sortWithinPartitions("token", "place", "doc_id")
     run, schema = _pivots(percent)
-    live = tables.keep(entries.mapInArrow(run, schema))
+    live = tables.keep(entries.mapInArrow(run, schema), 3 * TEXTS)
 
     # a is the bucket's first document; a pair that meets both ways is verified one way
     named = live.where("with_doc is not null").select(F.col("with_doc").alias("a"), F.col("doc_id").alias("b")).distinct()
