@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidefold.llm._shared import own_columns
+from tidefold.llm._shared import Tables, own_columns
 
 SCOPE = 256
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
@@ -59,7 +59,8 @@ def scan(docs: DataFrame) -> DataFrame:
     kind = F.col("kind")
     fits = F.when(kind == 0, F.length(F.regexp_extract("match", ASSIGN, 2)) >= LEAST_ASSIGNED).when(kind == 4, F.col("match").rlike("[0-9]") & F.col("match").rlike("[A-Za-z]")).otherwise(True)
     part = F.when(kind.isin(1, 3), "id").when(kind == 5, "end").otherwise("secret")
-    parts = g.where(fits).select("k1", "k2", "kind", "start", "end", part.alias("part"), F.expr(f"start div {SCOPE}").alias("bin"))
+    # the few rows found are written, so that the texts are searched once
+    parts = Tables(docs.sparkSession, "secrets").keep(g.where(fits).select("k1", "k2", "kind", "start", "end", part.alias("part"), F.expr(f"start div {SCOPE}").alias("bin")))
     base, weak = parts.where("kind < 3"), parts.where("kind >= 3")
     # a weak candidate within a base span is that one
     lo, hi = (Window.partitionBy("k1", "k2").orderBy("start", "end").rowsBetween(*r) for r in ((Window.unboundedPreceding, 0), (0, Window.unboundedFollowing)))
