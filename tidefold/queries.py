@@ -144,7 +144,7 @@ def _unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _engine(spark: SparkSession, *views: ViewSpec) -> tuple[Engine, str]:
     root = f"{shared_dir(spark)}/views-{uuid.uuid4().hex}"
-    return Engine(spark, Config("file", views, max_txns=50), f"{root}/state", buckets=4), root
+    return Engine(spark, Config("file", views), f"{root}/state", buckets=4), root
 
 
 def _redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,12 +162,14 @@ def _spread(log: DataFrame, rows: int = 40) -> DataFrame:
     return log.withColumn("end_lsn", F.col("end_lsn") * 1_000_000_000 + F.expr(f"seq div {rows}"))
 
 
-def _small_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _small_batches(spark: SparkSession, sf_dir: str, batches: int = 6) -> DataFrame:
+    """The log in many small transactions, applied in several commits."""
     snapshot, log = history(orders(spark, sf_dir))
     engine, root = _engine(spark, view())
     engine.setup({TABLE: snapshot}, 50)
-    changelog.append(_spread(_texts(log)), f"{root}/log", txns_per_file=100)
-    engine.catch_up(f"{root}/log", max_txns=250)
+    changelog.append(_spread(_texts(log)), f"{root}/log", txns_per_file=50)
+    txns = sum(f.txns for f in changelog.list_log(f"{root}/log"))
+    engine.catch_up(f"{root}/log", max_txns=-(-txns // batches))
     return engine.view("orders_view")
 
 
@@ -221,7 +223,7 @@ def _stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = F.map_from_arrays(F.array(F.lit("event_type"), F.lit("value")), F.array(F.col("event_type"), F.col("value").cast("string")))
     none = F.lit(None).cast("map<string, string>")
     log = e.select((F.expr("event_id div 25") + 1).alias("end_lsn"), (F.col("event_id") % 25).cast("int").alias("seq"), F.lit("I").alias("op"), F.lit("public.events").alias("table"), none.alias("old"), new.alias("new"), F.lit(None).cast("array<string>").alias("unchanged"))
-    changelog.append(log, f"{root}/log", txns_per_file=100)
+    changelog.append(log, f"{root}/log", txns_per_file=250)
     query = engine.run(f"{root}/log", f"{root}/stream")
     try:
         query.processAllAvailable()

@@ -147,14 +147,17 @@ class Engine:
             versions[v.name] = self._apply_view(v, algebra.fold(v, signed), cut is not None, m, source)
 
     def _apply_view(self, view: ViewSpec, delta: DataFrame, truncated: bool, m: Manifest, source: T.StructType) -> ViewVersion:
-        change = self._write(view, delta, source)
-        old = m.views[view.name]
-        if not change.buckets and not truncated:
-            return old
-        folded = self.spark.read.schema(algebra.state_schema(view, source)).parquet(*change.buckets.values()) if change.buckets else algebra.empty_state(self.spark, view, source)
-        base = algebra.empty_state(self.spark, view, source) if truncated else self.state(view.name, m, [*change.buckets]) if set(change.buckets) & set(old.buckets) else algebra.empty_state(self.spark, view, source)
-        made = self._write(view, algebra.merge(view, base, folded), source)
-        kept = {} if truncated else {b: p for b, p in old.buckets.items() if b not in change.buckets}
+        old, empty = m.views[view.name], algebra.empty_state(self.spark, view, source)
+        delta = delta.withColumn(BUCKET, self._bucket(view)).persist()
+        try:
+            touched = {str(r[0]) for r in delta.select(BUCKET).distinct().collect()}  # at most as many as there are buckets
+            if not touched and not truncated:
+                return old
+            base = self.state(view.name, m, sorted(touched)) if touched & set(old.buckets) and not truncated else empty
+            made = self._write(view, algebra.merge(view, base, delta.drop(BUCKET)), source)
+        finally:
+            delta.unpersist()
+        kept = {} if truncated else {b: p for b, p in old.buckets.items() if b not in touched}
         return replace(made, buckets=kept | made.buckets)
 
     # streaming
