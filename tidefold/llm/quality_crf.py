@@ -245,11 +245,13 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, trai
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row."""
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # broadcasts are pickled by reference to their classes, so only plain values go
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.trans, model.slope, model.intercept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*shared.value)
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array(shared.value.score(batch.column(1)))], schema=schema)
+            yield pa.record_batch([batch.column(0), pa.array(own.score(batch.column(1)))], schema=schema)
 
     d = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = d.mapInArrow(run, "doc_id long, score double")
