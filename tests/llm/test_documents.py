@@ -114,6 +114,16 @@ def test_join_finds_every_link(spark, seed, groups, each):
     assert got == brute_classes(rows)
 
 
+def test_join_finds_links_of_documents_that_the_first_of_the_bucket_rules_out(spark):
+    # b is no link of a, c is too long to be compared with a, and what b and c share outside a is a passage too common to lie in a prefix
+    common, rows = text(70_000, 24)[:-1], []
+    for g in range(12):
+        core, own = text(80_000 + g, 109)[:-1], text(90_000 + g, 16)[:-1].split()
+        rows += [(3 * g, f"{core} {' '.join(own[:5])}"), (3 * g + 1, f"{core} {own[5]} {common}"), (3 * g + 2, f"{core} {' '.join(own[6:])} {common}")]
+    got = as_classes(ngram_join.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == brute_classes(rows) and sum(k for (d, _, c), k in got.items() if c == d - 1) == 12
+
+
 def test_join_on_odd_rows(spark, odd_docs, no_docs):
     rows = [(r["doc_id"], r["text"]) for r in odd_docs.select("doc_id", "text").collect()]
     assert as_classes(ngram_join.similarity_classes(odd_docs)) == brute_classes(rows)

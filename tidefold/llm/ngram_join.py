@@ -17,9 +17,10 @@ of the shingles, and any order gives the same links.
    the whole sets.  Connected components over the links follow.
 4. Entries of one bucket that are still in different components are all compared, if three
    filters let them: the positional filter, tightened by the count of shared shingles so far;
-   the count of prefix shingles that the pair shares; and the pivot bound.  The overlap of x and y is
-   at most that of x with the bucket's first document, which is known, and the number of
-   shingles of x outside that document which another one of its bucket has too.  So the
+   the count of prefix shingles that the pair shares; and the pivot bound.  If both x and y were compared
+   with the bucket's first document and their shingles outside it counted, the overlap of x and y is
+   at most that of x with the first document and the number of
+   shingles of x outside that document which another one so counted has too.  So the
    members of a group of near misses, each with changes of its own, need not be compared in pairs.
    Pairs within a component need no comparison.
 
@@ -281,22 +282,25 @@ def similarity_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     again = of.join(split, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b")
     one = tables.keep(components(met.where("linked").select("a", "b").unionByName(again), tables))
 
-    # the pivot bound: most that b can share with another document in which a is the first of the bucket
+    # the pivot bound: most that b can share with another document that has a bound under a; one without may share more
     near = tables.keep(met.where("not linked and outside is not null").select("a").distinct())
     outer = met.join(near, "a", "left_semi").select("a", "b", F.explode("outside").alias("t"))
     common = outer.groupBy("a", "t").agg(F.count("*").alias("k")).where("k > 1").drop("k")
     extra = outer.join(common, ["a", "t"]).groupBy("a", "b").agg(F.count("*").alias("k"))
-    bound = met.join(near, "a", "left_semi").where("outside is not null").join(extra, ["a", "b"], "left").select(F.col("a").alias("first"), F.col("b").alias("rep"), (F.col("o") + F.coalesce("k", F.lit(0))).alias("most"))
+    # an id with several texts has several rows for a pair, and a bound only if the outside of each is known
+    whole = met.join(near, "a", "left_semi").groupBy("a", "b").agg(F.max("o").alias("o"), F.bool_and(F.col("outside").isNotNull()).alias("all")).where("all")
+    bound = whole.join(extra, ["a", "b"], "left").select(F.col("a").alias("first"), F.col("b").alias("rep"), (F.col("o") + F.coalesce("k", F.lit(0))).alias("most"))
 
     label = of.join(one, of["rep"] == one["id"], "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("comp"))
     rest = live.where("not lead").drop("lead").join(label, "doc_id")
     open_ = rest.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
     rest = rest.join(open_, "token").withColumn("before", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1)
     rest = rest.join(of.select(F.col("doc_id").alias("with_doc"), F.col("rep").alias("first")), "with_doc", "left").join(bound, ["first", "rep"], "left")
-    rest = tables.keep(rest.select("token", "doc_id", "rep", "comp", "pos", "n", "before", F.coalesce("most", "n").alias("most")))
-    x, y = (rest.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "rep", "comp", "pos", "n", "before", "most")]) for k in "xy")
+    rest = tables.keep(rest.select("token", "doc_id", "rep", "comp", "pos", "n", "before", F.when(F.col("most").isNotNull(), F.col("first")).alias("first"), "most"))
+    x, y = (rest.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "rep", "comp", "pos", "n", "before", "first", "most")]) for k in "xy")
     need = _need(F.col("n_x"), F.col("n_y"), percent)
-    may = (F.least("most_x", "most_y") >= need) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & (F.least("before_x", "before_y") + 1 + F.least(F.expr("n_x - pos_x - 1"), F.expr("n_y - pos_y - 1")) >= need)
+    apart = F.coalesce((F.col("first_x") == F.col("first_y")) & (F.least("most_x", "most_y") < need), F.lit(False))
+    may = ~apart & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & (F.least("before_x", "before_y") + 1 + F.least(F.expr("n_x - pos_x - 1"), F.expr("n_y - pos_y - 1")) >= need)
     pairs = x.join(y, "token").where("rep_x < rep_y and comp_x <> comp_y").where(may)
     pairs = pairs.groupBy("rep_x", "rep_y", "doc_id_x", "doc_id_y").agg(F.count("*").alias("c"), F.max("pos_x").alias("p"), F.max("pos_y").alias("q"), F.first("n_x").alias("n"), F.first("n_y").alias("m"))
     pairs = pairs.where(F.col("c") + F.least(F.expr("n - p - 1"), F.expr("m - q - 1")) >= _need(F.col("n"), F.col("m"), percent))
