@@ -4,8 +4,8 @@ For each distinct line, trimmed of ASCII white space, a HyperLogLog sketch count
 being one of them) it stands on; sketches of tasks are merged by aggregation.  Lines whose estimate is further than
 ``BAND`` (relative) from the threshold are decided by it; those near it get an exact distinct count.  A line
 on ``sites`` sites or more is boilerplate and is removed from every document, unless the removed lines
-would hold more than ``most_percent`` in a hundred of the document's characters in lines: such a document is a copy of others
-rather than a carrier of boilerplate, and is left whole for document-level deduplication.
+would hold more than ``most_percent`` in a hundred of the document's characters in lines: such a document is left whole.
+That is not a test for copies; short documents that carry a spread line are left whole too.
 
 ``clean`` returns one row per row of the input: its ``doc_id``, ``text`` without the removed lines, ``n_lines``
 (lines with a character other than ASCII white space) and ``n_removed``.  Lines are separated by line feeds; blank lines
