@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
+"""N-gram Jaccard join: rare-first prefix filtering with length and positional filters and a bitmap signature bound.
 
 Two documents link when the Jaccard similarity of their sets of word shingles is at
 least ``percent`` in a hundred.  Every step is exact; the only estimate is the order
@@ -12,9 +12,8 @@ of the shingles, and any order gives the same links.
    shingle and sorted by position.  In each shingle's bucket the first entry, whose
    document has the fewest rare shingles and thus is the most central of a group of
    near copies, is compared with the others: a group of any size costs its size.
-3. Pairs that pass the length and positional filters are sieved by the suffix filter, whose
-   bound comes from a bitmap of about a bit for each shingle, and verified once on
-   the whole sets.  Connected components over the links follow.
+3. Pairs that pass the length and positional filters are sieved by a bound from bitmaps of about a bit for
+   each shingle of the whole sets, which stands in for a suffix filter, and verified once on the whole sets.  Connected components over the links follow.
 4. Entries of one bucket that are still in different components are all compared, if three
    filters let them: the positional filter, tightened by the count of shared shingles so far;
    the count of prefix shingles that the pair shares; and the pivot bound.  If both x and y were compared
