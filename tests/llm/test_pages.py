@@ -53,6 +53,24 @@ def test_aliases(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_relative_targets_and_several_rel_values(spark):
+    refresh = '<meta http-equiv="refresh" content="0; url={}">'
+    rows = [
+        (1, "http://b.com/start", refresh.format("/de/x")),
+        (2, "http://b.com/de2/start?q", link("../de/y#z")),
+        (3, "http://a.net/1", refresh.format("//B.com/de/x")),
+        (4, "http://a.net/2", '<link rel="alternate canonical" href="http://b.com/de/x">'),
+        (5, "http://a.net/d/3", link("1-more")),
+        (6, "http://a.net/d/1-more", link("http://b.com/de/x")),
+        (7, "http://a.net/4", link("mailto:x@b.com/de/x")),
+        (8, "http://a.net/5", '<link rel="canonical-not" href="/1">'),
+        (9, "http://a.net/6", link("?again")),
+        (10, "http://b.com", link("de/z")),
+    ]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: "allow" if k in (7, 8, 9) else "block" for k in range(1, 11)}
+
+
 # 9: WARC
 
 

@@ -1,8 +1,8 @@
 """URL filters with redirect equivalence.
 
 A page's address is its host and path.  Edges join addresses that stand for one another: a page's address and those
-that its html names by ``<link rel=canonical>`` or ``<meta http-equiv=refresh>``, written as absolute
-addresses.  Distributed connected components over the edges give the aliases.
+that its html names by ``<link rel=canonical>`` or ``<meta http-equiv=refresh>``; targets without a host are resolved against
+the page's address.  ``ORACLE`` reads absolute targets and a sole ``canonical`` only.  Distributed connected components over the edges give the aliases.
 
 A page that a rule fits has that rule's verdict; of several the longest wins.  Any other page is allowed if a
 page of its component is allowed by a rule or an address of it is, else blocked if one is blocked, else allowed: an explicit allow goes
@@ -23,7 +23,7 @@ from tidefold.llm._shared import Tables, components, lower_ascii, own_columns
 #: Fixed values: (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 ADDRESS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-LINK = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
+LINK = r"(?is)<link\b[^>]*\brel\s*=\s*(?:[\"']?|\"[^\">]*\s|'[^'>]*\s)canonical(?=[\s\"'/>])[^>]*>"
 REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 LINK_TO = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 REFRESH_TO = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)"
@@ -37,6 +37,21 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, ADDRESS, 2), F.lit(""))
 
 
+def resolved(to: Column) -> Column:
+    """The address that a target names on the page with ``host`` and ``path``; null if it names none."""
+    # a scheme with no host (mailto:, javascript:) names no page
+    own = F.regexp_extract(to, r"(?s)^([^?#]*)", 1)
+    base = F.when(own == "", F.col("path")).when(own.startswith("/"), own).otherwise(F.concat(F.coalesce(F.nullif(F.regexp_extract("path", r"(?s)^(.*/)", 1), F.lit("")), F.lit("/")), own))
+    parts = F.split(F.regexp_replace(base, "^/", ""), "/")
+    up = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    # a last part of dots stands for the folder
+    tail = F.when(base.rlike(r"/\.\.?$"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    walked = F.concat(F.aggregate(parts, F.array().cast("array<string>"), up), tail)
+    dotted = F.when(base.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(walked, "/"))).otherwise(base)
+    full = F.when(to.startswith("//"), F.concat(F.lit("x:"), to)).when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+    return F.when(full.isNotNull(), F.concat(host(full), path(full))).when((to != "") & ~to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.concat("host", dotted))
+
+
 def rule_struct(h: Column, p: Column, rules: tuple[tuple[str, str, str], ...] = RULES) -> Column:
     """The longest rule that fits, as (verdict, rule), or null."""
     found = None
@@ -53,8 +68,8 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) ->
     p = p.withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url")))
     named = F.concat(F.transform(F.regexp_extract_all("html", F.lit(LINK), F.lit(0)), lambda x: F.regexp_extract(x, LINK_TO, 1)), F.transform(F.regexp_extract_all("html", F.lit(REFRESH), F.lit(0)), lambda x: F.regexp_extract(x, REFRESH_TO, 1)))
     has = F.col("html").rlike("(?i)canonical|refresh")
-    edges = p.where(has & (F.col("host") != "")).select("host", "path", F.explode(named).alias("to")).where(F.instr("to", "://") > 0)
-    edges = edges.select(F.concat("host", "path").alias("a"), F.concat(host(F.col("to")), path(F.col("to"))).alias("b")).where("a <> b").distinct()
+    edges = p.where(has & (F.col("host") != "")).select("host", "path", F.explode(named).alias("to"))
+    edges = edges.select(F.concat("host", "path").alias("a"), resolved(F.col("to")).alias("b")).where("a <> b").distinct()
     edges = tables.keep(edges)
     rule = rule_struct(F.col("host"), F.col("path"), rules)
     if edges.isEmpty():
