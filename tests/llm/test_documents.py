@@ -412,6 +412,17 @@ def test_classifier_on_held_out_and_odd_rows(spark, odd_docs, no_docs):
     assert {r["score"] for r in quality_crf.score(odd_docs, blind).collect()} == {0.5}
 
 
+def test_a_very_long_text_keeps_no_other_out_of_the_sample(spark, monkeypatch):
+    ids = spark.range(60).where(quality_crf.fold(F.col("id")) != 0).orderBy(F.xxhash64("id"), "id").collect()
+    ids = [r["id"] for r in ids]
+    sizes = {d: 50_000 if k == 0 else 9_000 if k == 1 else 40 for k, d in enumerate(ids)}
+    docs = spark.createDataFrame([(d, "x" * n) for d, n in sizes.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, k % 2) for k, d in enumerate(ids)], "doc_id long, quality int")
+    monkeypatch.setattr(quality_crf, "fit", lambda texts, y: Counter((len(t), q) for t, q in zip(texts, y, strict=True)))
+    got = quality_crf.train(docs, labels, train_bytes=20_000)
+    assert got == Counter((sizes[d], k % 2) for k, d in enumerate(ids) if sizes[d] <= 9_000)
+
+
 def test_score_depends_on_the_text_alone(spark):
     sf = "/root/testdata/sf0.001"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

@@ -7,7 +7,8 @@ line's marginal of being good; the mean of the marginals, weighted by the words
 document's quality, which a logistic calibration maps to the probability of label 1.
 
 Training takes a bounded sample: the ``train_docs`` labelled documents with the smallest hash
-among those of the training fold, whole texts up to ``train_bytes`` in all.  Each line takes the label of its document.
+among those of the training fold, whole texts up to half of ``train_bytes`` for each label.  Texts of more than a 64th of
+``train_bytes`` come last, the smallest first, so that one that does not fit keeps out no other.  Each line takes the label of its document.
 Scores depend on the text alone.
 
 ``score`` returns one row per row of the input: ``doc_id, held_out, score, predicted``.  A null or empty
@@ -236,7 +237,8 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, trai
     rows = d.join(F.broadcast(picked), d["doc_id"] == picked["id"]).where("text is not null").select("id", "quality", F.octet_length("text").alias("size"), "text")
     from pyspark.sql import Window
 
-    rows = rows.withColumn("before", F.sum("size").over(Window.orderBy(F.xxhash64("id"), "id", "quality"))).where(F.col("before") <= train_bytes)
+    by_label = Window.partitionBy("quality").orderBy(F.greatest("size", F.lit(train_bytes // 64)), F.xxhash64("id"), "id")
+    rows = rows.withColumn("before", F.sum("size").over(by_label.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("before") <= train_bytes // 2)
     got = rows.select("text", "quality").toArrow()
     model = fit(got["text"].to_pylist(), [int(q) for q in got["quality"].to_pylist()])
     return model
