@@ -6,7 +6,8 @@ the document and the item are compared.  An item leaks into a document if some s
 least four fifths of it equal, has ``MATCHED`` equal words or more (for an item of fewer than ``MATCHED`` words: four
 fifths of them).  Words are runs other than ASCII white space; A-Z count as a-z.
 
-Items shorter than the masks are sought as they stand, whole; items of fewer than ``LEAST`` words carry no
+Items shorter than the masks are sought as they stand, whole, so that one changed word loses them; an item of 10 words with its
+first or last word changed is not found either.  Items of fewer than ``LEAST`` words carry no
 passage that could be recognised and leak nowhere.  A null or empty text has no seeds.
 
 ``leaks`` returns a row for each pair of a document and an item that leaks into it: ``doc_id, item_id,
