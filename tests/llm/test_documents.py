@@ -287,6 +287,32 @@ def test_interval_join_is_exact_at_the_edges(spark):
         assert bool(r["spans"]) == near
 
 
+def brute_spans(t):
+    """All spans of a text, candidates against candidates."""
+    base = [(m.start(), m.end(), k) for k, found in enumerate(([m for m in ASSIGN.finditer(t) if len(m[1]) >= 6], [m for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20], [m for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24])) for m in found]
+    weak = [(m.start(), m.end(), 3) for m in re.finditer(secrets.IDENTIFIER, t, re.ASCII)]
+    weak += [(m.start(), m.end(), 4) for m in re.finditer(secrets.SECRET, t) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+    for m in re.finditer(r"""https?://[^\x20\x09-\x0D"'<>]+|(?<![a-z0-9.-])([a-z0-9.-]+):([0-9]+)""", t):
+        if not m[1] or ("." in m[1] and all(m[1].split(".")) and 2 <= len(m[2]) <= 5):
+            weak.append((m.start(), m.end(), 5))
+    covered = np.zeros(len(t) + 1, bool)
+    for a, b, _ in base:
+        covered[a:b] = True
+    parts = base + [x for x in weak if not covered[x[0] : x[1]].any()]
+    side = {k: np.sort([x[0] for x in parts if (x[2] in (0, 2, 4)) == k]) for k in (True, False)}
+    near = lambda x: np.searchsorted(side[x[2] != 4], x[0] + secrets.SCOPE, "right") > np.searchsorted(side[x[2] != 4], x[0] - secrets.SCOPE, "left")
+    return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, b, k in sorted((x for x in parts if x[2] < 3 or near(x)), key=lambda x: (x[0], x[2], x[1])))
+
+
+def test_scan_of_very_long_texts(spark):
+    n, rng = 1_700_000, random.Random(9)
+    head, bits = "token=abcdef12345 host:8080 ", ["user=al", "db.example.org:5432", "a..b:99", "x.y:1", "x.y:123456", WEAK, "word " * 60, "deadbeef" * 3, "token=abcdef9", KEY, "https://h/é", "-.a.b:77", "q.r:80.s.t:90:91"]
+    rows = [head + "a." * n, head + "Ab1+" * n, head + "0f" * n, head + "a.b:" * 20_000, "".join(rng.choice(bits) + rng.choice(" ;\n") for _ in range(200_000)), "a." * 50 + ":80 " + WEAK, f"{WEAK} a.b:8080/ .c.d:80 e.f.:80"]
+    got = {r["doc_id"]: r for r in secrets.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(rows):
+        assert got[i]["spans"] == brute_spans(t)
+
+
 # 8: decontamination
 
 

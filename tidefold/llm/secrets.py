@@ -1,9 +1,10 @@
 """Secret scans with multipart credential linking.
 
 Base kinds are found by their patterns alone.  Weak candidates, an identifier, a secret or an endpoint that may as well be
-harmless, are reported only when complementary parts stand within ``SCOPE`` code points in the same document: an
-identifier or an endpoint next to a secret, a secret next to one of those.  Base findings are parts too: an
-access key is an identifier, an assignment or a hex run a secret.  The parts are joined by interval: each
+harmless, are reported only when complementary parts start within ``SCOPE`` code points of each other in the same document (where
+they end does not matter): an identifier or an endpoint next to a secret, a secret next to one of those.  Base findings are parts too: an
+access key is an identifier, an assignment or a hex run a secret.  An endpoint is a URL, or a dotted host name (no empty label)
+with a port of two to five digits.  The parts are joined by interval: each
 document is cut into bins of SCOPE code points, of each part a bin keeps its first and last place, and a candidate looks at its
 own bin and both beside it, which decides exactly and never pairs parts.
 
@@ -11,6 +12,9 @@ own bin and both beside it, which decides exactly and never pairs parts.
 ``kind:start:end`` in code points, end exclusive, by start, then kind in the order of ``KINDS``, comma-joined; base ones all stay, weak ones
 that overlap a base one are left out.  A null or empty text has none: empty ``spans`` and the hash of the empty string.  Repeated rows get
 the same result each, null ids stay null.  Further columns are ignored.
+
+No pattern repeats a group, tries a run of characters from more than one place or gives characters back, so that the time is in
+proportion to the text whatever it holds, and so is that of the windows over its candidates.
 """
 
 from __future__ import annotations
@@ -28,11 +32,20 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 IDENTIFIER = r"(?i)\b(?:user|user_?name|login|account|client_?id|access_?key_?id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@-]{3,}"
 SECRET = r"[A-Za-z0-9+/_-]{20,}={0,2}"
-ENDPOINT = r"https?://[^\s\"'<>]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b"
-MAY_ENDPOINT = r"https?://|[a-z0-9]:[0-9]{2,5}\b"
+URL = r"https?://[^\x20\x09-\x0D\"'<>]+"
+#: A whole run of host characters and a number; ``_endpoint`` looks at its parts.
+ENDPOINT = URL + r"|(?<![a-z0-9.-])[a-z0-9.-]++:[0-9]++"
+MAY_ENDPOINT = r"https?://|[a-z0-9-]:[0-9]{2}"
 LEAST_ASSIGNED = 6
 
 
+def _endpoint(match: Column) -> Column:
+    """Whether what ``ENDPOINT`` matches is an endpoint."""
+    host, port = F.substring_index(match, ":", 1), F.substring_index(match, ":", -1)
+    named = host.contains(".") & ~host.contains("..") & ~host.startswith(".") & ~host.endswith(".")
+    return match.contains("://") | named & F.length(port).between(2, 5)
+
+
 def _found(kind: str, pattern: str, gate: Column) -> Column:
     """The matches of a pattern in ``text`` with their number and the length of the text between each and the one before."""
     between = F.transform(F.split("text", pattern, -1), F.length)
@@ -57,13 +70,14 @@ def scan(docs: DataFrame) -> DataFrame:
     upto = Window.partitionBy("k1", "k2", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     g = g.withColumn("end", F.sum(F.col("gap") + F.length("match")).over(upto)).withColumn("start", F.col("end") - F.length("match"))
     kind = F.col("kind")
-    fits = F.when(kind == 0, F.length(F.regexp_extract("match", ASSIGN, 2)) >= LEAST_ASSIGNED).when(kind == 4, F.col("match").rlike("[0-9]") & F.col("match").rlike("[A-Za-z]")).otherwise(True)
+    fits = F.when(kind == 0, F.length(F.regexp_extract("match", ASSIGN, 2)) >= LEAST_ASSIGNED).when(kind == 4, F.col("match").rlike("[0-9]") & F.col("match").rlike("[A-Za-z]")).when(kind == 5, _endpoint(F.col("match"))).otherwise(True)
     part = F.when(kind.isin(1, 3), "id").when(kind == 5, "end").otherwise("secret")
     # the few rows found are written, so that the texts are searched once
     parts = Tables(docs.sparkSession, "secrets").keep(g.where(fits).select("k1", "k2", "kind", "start", "end", part.alias("part"), F.expr(f"start div {SCOPE}").alias("bin")))
     base, weak = parts.where("kind < 3"), parts.where("kind >= 3")
     # a weak candidate within a base span is that one
-    lo, hi = (Window.partitionBy("k1", "k2").orderBy("start", "end").rowsBetween(*r) for r in ((Window.unboundedPreceding, 0), (0, Window.unboundedFollowing)))
+    at = (F.col("start"), F.col("end"), kind)  # of equal spans base ones come first
+    lo, hi = (Window.partitionBy("k1", "k2").orderBy(*o).rowsBetween(Window.unboundedPreceding, 0) for o in (at, [c.desc() for c in at]))
     marked = parts.withColumn("before", F.max(F.when(kind < 3, F.col("end"))).over(lo)).withColumn("after", F.min(F.when(kind < 3, F.col("start"))).over(hi))
     weak = marked.where((kind >= 3) & (F.coalesce(F.col("before") <= F.col("start"), F.lit(True))) & (F.coalesce(F.col("after") >= F.col("end"), F.lit(True))))
     bins = base.drop("bin").unionByName(weak.drop("before", "after", "bin")).withColumn("bin", F.expr(f"start div {SCOPE}")).groupBy("k1", "k2", "bin", "part").agg(F.min("start").alias("first"), F.max("start").alias("last"))
@@ -83,19 +97,22 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def _oracle() -> str:
-    """The same in DuckDB's SQL."""
-    quoted = {k: p.replace("'", "''") for k, p in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("identifier", IDENTIFIER), ("secret", SECRET), ("endpoint", ENDPOINT))}
+    """The same in DuckDB's SQL.  Its patterns cannot look behind, so those of hosts take in the character before, a line feed at the text's start."""
+    patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "identifier": IDENTIFIER, "secret": SECRET, "endpoint": URL + r"|[^a-z0-9.-][a-z0-9.-]+:[0-9]+"}
+    quoted = {k: p.replace("'", "''") for k, p in patterns.items()}
     rows = " UNION ALL ".join(
         f"""SELECT r, {i} AS kind, '{k}' AS name, unnest(list_transform(range(1, len(m) + 1), lambda j: struct_pack(m := m[j], s := list_sum(list_transform(g[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:j - 1], lambda x: length(x))), 0)))) AS x
-        FROM (SELECT r, regexp_extract_all(text, '{quoted[k]}') AS m, string_split_regex(text, '{quoted[k]}') AS g FROM d WHERE regexp_matches(text, '{quoted[k]}'))"""
+        FROM (SELECT r, regexp_extract_all(t, '{quoted[k]}') AS m, string_split_regex(t, '{quoted[k]}') AS g FROM (SELECT r, {"chr(10) || text" if k == "endpoint" else "text"} AS t FROM d) WHERE regexp_matches(t, '{quoted[k]}'))"""
         for i, k in enumerate(KINDS)
     )
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
-found AS (SELECT r, kind, name, x.m AS m, x.s AS s, x.s + length(x.m) AS e FROM ({rows})),
+raw AS (SELECT r, kind, name, x.m AS m, x.s - (kind = 5)::INT AS s, (kind = 5 AND x.m[1] <> 'h')::INT AS lead FROM ({rows})),
+found AS (SELECT r, kind, name, substr(m, 1 + lead) AS m, s + lead AS s, s + length(m) AS e, split_part(substr(m, 1 + lead), ':', 1) AS host FROM raw),
 fit AS (
   SELECT *, CASE WHEN kind IN (1, 3) THEN 'id' WHEN kind = 5 THEN 'end' ELSE 'secret' END AS part FROM found
-  WHERE CASE kind WHEN 0 THEN length(regexp_extract(m, '{quoted["assign"]}', 2)) >= {LEAST_ASSIGNED} WHEN 4 THEN regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') ELSE true END),
+  WHERE CASE kind WHEN 0 THEN length(regexp_extract(m, '{quoted["assign"]}', 2)) >= {LEAST_ASSIGNED} WHEN 4 THEN regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')
+    WHEN 5 THEN contains(m, '://') OR contains(host, '.') AND NOT contains(host, '..') AND host[1] <> '.' AND host[-1] <> '.' AND length(split_part(m, ':', -1)) BETWEEN 2 AND 5 ELSE true END),
 parts AS (SELECT * FROM fit f WHERE kind < 3 OR NOT EXISTS (FROM fit b WHERE b.r = f.r AND b.kind < 3 AND b.s < f.e AND f.s < b.e)),
 spans AS (SELECT * FROM parts p WHERE kind < 3 OR EXISTS (FROM parts o WHERE o.r = p.r AND (o.part = 'secret') <> (p.part = 'secret') AND abs(o.s - p.s) <= {SCOPE})),
 agg AS (
