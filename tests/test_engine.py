@@ -26,7 +26,7 @@ def orders(spark, sf):
 
 
 def make(spark, root, at=lambda step: None):
-    return Engine(spark, Config("file", VIEWS, max_txns=5), str(root), buckets=3, at=at)
+    return Engine(spark, Config("file", VIEWS, max_txns=5), str(root), runs=3, at=at)
 
 
 def final(orders):
@@ -112,6 +112,68 @@ def test_stream_restarts_where_it_was(spark, orders, tmp_path):
     assert status["acknowledged_lsn"] is None or status["acknowledged_lsn"] <= end
 
 
+def test_runs_are_merged_and_replaced_ones_go(spark, orders, tmp_path, monkeypatch):
+    """Whatever number of runs an engine allows, they add up to the view; and nothing is left behind."""
+    snapshot, log = q.history(orders)
+    spread = q._texts(q._spread(log, rows=70)).cache()
+    ends = sorted(r[0] for r in spread.select("end_lsn").distinct().collect())
+    make(spark, tmp_path / "s").setup({q.TABLE: snapshot}, 50)
+    for k, end in enumerate(ends):
+        engine = Engine(spark, Config("file", VIEWS), str(tmp_path / "s"), runs=2 + k % 5)
+        monkeypatch.setattr(engine.store, "RETAIN_SECONDS", 0.0)
+        m = engine.apply(spread.where(F.col("end_lsn") <= end))
+        assert all(len(v.runs) <= 6 for v in m.views.values()) and m.checkpoint_lsn == end
+    agree(engine, final(orders))
+    assert len(engine.store.numbers()) <= engine.store.KEEP
+    engine.apply(q.change(orders.limit(0), end + 1, "I", new=q._row()).unionByName(q.change(orders.limit(1), end + 1, "I", new=q._row()).withColumn("table", F.lit("public.other"))))
+    there = {f"{v}/{x}" for v in os.listdir(tmp_path / "s/views") for x in os.listdir(tmp_path / "s/views" / v)}
+    held = {"/".join(r.path.split("/")[-2:]) for v in engine.manifest().views.values() for r in v.runs}
+    assert there - held <= {"/".join(p.split("/")[-2:]) for p, _ in engine.manifest().retired}
+
+
+def test_a_group_with_fewer_rows_than_none_raises(spark, orders, tmp_path):
+    engine = make(spark, tmp_path / "s")
+    engine.setup({q.TABLE: orders.limit(0)}, 5)
+    engine.apply(q.change(orders.where("id = 1"), 10, "D", q._row()))
+    with pytest.raises(Exception, match="fewer rows than none"):
+        engine.view("by_status").collect()
+
+
+def streamed(engine, log, checkpoint):
+    query = engine.run(log, checkpoint, poll_ms=50)
+    try:
+        query.processAllAvailable()
+    finally:
+        engine.stop(query)
+
+
+def test_setup_again_streams_the_log_again(spark, orders, tmp_path):
+    """The stream's own checkpoint from before ``force`` or teardown is not gone on from."""
+    log, stream = f"{tmp_path}/log", f"{tmp_path}/c"
+    changelog.append(q._spread(q._texts(q.change(orders, 1, "I", new=q._row())), rows=20), log, txns_per_file=3)
+    other = spark.createDataFrame([(10**10, 0, "I", "public.other", None, {"x": "1"}, None)], ch.CHANGE_DDL)
+    changelog.append(other, log)
+    for again in (None, "force", "teardown"):
+        engine = make(spark, tmp_path / "s")
+        if again == "teardown":
+            engine.teardown()
+        engine.setup({q.TABLE: orders.limit(0)}, 0, force=again == "force")
+        streamed(engine, log, stream)
+        assert engine.manifest().checkpoint_lsn == 10**10 == changelog.latest_lsn(log) and engine.barrier(log, 1)
+        agree(engine, orders)
+        assert engine.verify({q.TABLE: orders}).isEmpty() and not engine.verify({q.TABLE: orders.where("id > 9")}).isEmpty()
+    assert len(os.listdir(stream)) == 1
+    assert not [f for f in changelog.list_log(log, changelog.acknowledged(log) or 0)] or changelog.acknowledged(log) < 10**10
+
+
+def test_position_is_that_of_the_tables():
+    ends = iter([3, 4, 4, 4])
+    assert cli._consistent(lambda: "tables", lambda: next(ends)) == ("tables", 4)
+    moving = iter(range(100))
+    with pytest.raises(SetupError, match="stand still"):
+        cli._consistent(lambda: "tables", lambda: next(moving))
+
+
 def test_transactions_without_rows_move_the_checkpoint(spark, orders, tmp_path):
     engine = make(spark, tmp_path / "s")
     engine.setup({q.TABLE: orders}, 5)
@@ -182,7 +244,7 @@ def test_commands(spark, orders, tmp_path, capsys):
     assert cli.main(["setup", *base, "--tables", f"{tmp_path}/t"]) == 1
     capsys.readouterr()
     assert cli.main(["status", *base]) == 0
-    assert "view by_status" in (out := capsys.readouterr().out) and "inactive" in out
+    assert "by_status: " in (out := capsys.readouterr().out) and "inactive" in out
     assert cli.main(["teardown", *base]) == 2 and cli.main(["teardown", *base, "--yes"]) == 0
     assert cli.main(["status", "-c", f"{tmp_path}/none", "--root", "x"]) == 1
     with pytest.raises(SystemExit):

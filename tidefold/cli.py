@@ -21,6 +21,7 @@ def _parser() -> argparse.ArgumentParser:
         c.add_argument("--root", required=True, help="shared folder of the views")
         if name == "setup":
             c.add_argument("--tables", required=True, help="folder with <schema>.<table>.parquet or <table>.parquet")
+            c.add_argument("--lsn", type=int, help="the log's position as of which the tables are; else its end, which must stand still meanwhile")
             c.add_argument("--force", action="store_true", help="start over where views are set up")
         if name in ("setup", "run", "status"):
             c.add_argument("--log", required=name == "run", help="folder of the log of changes")
@@ -61,16 +62,31 @@ def _snapshots(spark, config, folder: str) -> dict:
 
 
 def table(info: dict[str, object]) -> str:
-    """The status as aligned lines."""
+    """The status: the manifest that holds, the log's positions, and for each view its rows and runs."""
     from tidefold.functions.lsn import format_lsn
 
-    state = "absent: run setup" if not info["exists"] else "active" if info["active"] else "inactive"
-    rows = [("slot", f"{info['slot']} ({state})")]
-    rows += [(k, "-" if info[k] is None else format_lsn(info[k])) for k in ("checkpoint_lsn", "acknowledged_lsn", "current_lsn")]
-    rows.append(("lag", "-" if info["lag"] is None else str(info["lag"])))
-    rows += [(f"view {v}", "no state" if n is None else f"{n} rows") for v, n in info["views"].items()]
-    width = max(len(k) for k, _ in rows)
-    return "\n".join(f"{k:<{width}}  {v}" for k, v in rows)
+    if not info["exists"]:
+        return f"{info['slot']}: absent, run setup" + "".join(f"\n  {v}: no state" for v in info["views"])
+    at = {k: "unknown" if info[k] is None else format_lsn(info[k]) for k in ("checkpoint_lsn", "acknowledged_lsn", "current_lsn")}
+    batch = "setup" if info["batch"] is None else f"batch {info['batch']}"
+    head = f"{info['slot']}: manifest {info['manifest']} ({batch}) holds everything up to {at['checkpoint_lsn']}, {'active' if info['active'] else 'inactive'}"
+    log = f"log: ends at {at['current_lsn']}, acknowledged up to {at['acknowledged_lsn']}, {'unknown' if info['lag'] is None else info['lag']} behind"
+    return "\n".join([head, log, *(f"  {v}: {n} rows in {info['runs'].get(v, 0)} runs" for v, n in info["views"].items())])
+
+
+def _consistent(read, position, tries: int = 5):
+    """What ``read`` lists, and the log's position as of that: the position is taken first and must still hold afterwards.
+
+    A change that is logged in between might be in the tables or not, so that neither position would be right.
+    """
+    from tidefold.errors import SetupError
+
+    for _ in range(tries):
+        before = position()
+        found = read()
+        if position() == before:
+            return found, before
+    raise SetupError("the log does not stand still while the tables are listed; stop the writer or give --lsn")
 
 
 def _do(args: argparse.Namespace) -> int:
@@ -82,13 +98,16 @@ def _do(args: argparse.Namespace) -> int:
         return 2
     from pyspark.sql import SparkSession
 
+    from tidefold.functions.shared import qualified
     from tidefold.sources.changelog import latest_lsn
     from tidefold.streaming.engine import Engine
 
     spark = SparkSession.builder.appName("tidefold").getOrCreate()
     engine = Engine(spark, config, args.root)
     if args.command == "setup":
-        engine.setup(_snapshots(spark, config, args.tables), latest_lsn(args.log) if args.log else 0, force=args.force)
+        end = lambda: args.lsn if args.lsn is not None else latest_lsn(qualified(spark, args.log)) if args.log else 0
+        snapshots, lsn = _consistent(lambda: _snapshots(spark, config, args.tables), end)
+        engine.setup(snapshots, lsn, force=args.force)
         print(f"{len(config.views)} views are set up; next: tidefold run -c {args.config} --root {args.root}")
     elif args.command == "run":
         asked: list[int] = []

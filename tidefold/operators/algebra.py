@@ -75,20 +75,33 @@ def backfill(view: ViewSpec, rows: DataFrame) -> DataFrame:
 def fold(view: ViewSpec, signed: DataFrame) -> DataFrame:
     """The state's change over signed rows: one row for each touched group, and exactly one for a view without keys."""
     check_source(view, signed.schema)
-    return signed.groupBy(*view.group_by).agg(*_partials(view, signed.schema, F.col(SIGN)))
+    return signed.groupBy(*view.group_by).agg(*fold_columns(view, signed.schema))
 
 
-def merge(view: ViewSpec, state: DataFrame, delta: DataFrame) -> DataFrame:
-    """The sum of a state and a change of it.  Groups without rows vanish; one with fewer than none raises."""
-    columns = [c for c in state.columns if c not in view.group_by]
-    sums = [F.sum(c).cast(state.schema[c].dataType).alias(c) for c in columns]
+def fold_columns(view: ViewSpec, schema: T.StructType) -> list[Column]:
+    """The aggregates of ``fold``, with the types of the state's columns; they can be used for any batch."""
+    return _partials(view, schema, F.col(SIGN))
+
+
+def added(view: ViewSpec, rows: DataFrame) -> DataFrame:
+    """State rows added up by group, whatever their sums."""
+    columns = [c for c in rows.columns if c not in view.group_by]
+    sums = [F.sum(c).cast(rows.schema[c].dataType).alias(c) for c in columns]
     if not view.group_by:
-        sums = [F.coalesce(s, F.lit(0)).cast(state.schema[c].dataType).alias(c) for s, c in zip(sums, columns, strict=True)]
-    out = state.unionByName(delta.select(*state.columns)).groupBy(*view.group_by).agg(*sums)
-    if view.group_by:
-        out = out.where(F.col(ROWS) != 0)
-    bad = F.raise_error(F.lit(f"view {view.name}: a group has fewer rows than none")).cast("long")
-    return out.withColumn(ROWS, F.when(F.col(ROWS) < 0, bad).otherwise(F.col(ROWS)))
+        sums = [F.coalesce(s, F.lit(0)).cast(rows.schema[c].dataType).alias(c) for s, c in zip(sums, columns, strict=True)]
+    return rows.groupBy(*view.group_by).agg(*sums)
+
+
+def total(view: ViewSpec, rows: DataFrame) -> DataFrame:
+    """The state that a first state and all changes of it add up to.  Groups without rows vanish; one with fewer than none raises."""
+    bad = F.raise_error(F.lit(f"view {view.name}: a group has fewer rows than none")).cast("boolean")
+    # a filter, since a column that nobody reads would not be looked at
+    return added(view, rows).where(F.when(F.col(ROWS) < 0, bad).otherwise(F.col(ROWS) != 0 if view.group_by else F.lit(True)))
+
+
+def merge(view: ViewSpec, state: DataFrame, delta: DataFrame) -> DataFrame:
+    """The sum of a state and a change of it."""
+    return total(view, state.unionByName(delta.select(*state.columns)))
 
 
 def empty_state(spark: SparkSession, view: ViewSpec, schema: T.StructType) -> DataFrame:

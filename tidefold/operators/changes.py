@@ -42,11 +42,19 @@ def signed_rows(changes: DataFrame, schema: T.StructType, needed: tuple[str, ...
     a value that was not sent is the old one.  Without the old values of an update or a delete, or with a column of the
     new row neither sent nor marked unchanged, nothing right can be said, and an error is raised.
     """
-    texts = isinstance(changes.schema["new"].dataType, T.MapType)
+    return after_cut(changes, cut).select(signed_column(isinstance(changes.schema["new"].dataType, T.MapType), schema, needed))
+
+
+def after_cut(changes: DataFrame, cut: tuple[int, int] | None) -> DataFrame:
+    """The changes of rows behind a truncation."""
+    return changes.where("op IN ('I', 'U', 'D')" + (f" AND (end_lsn > {cut[0]} OR end_lsn = {cut[0]} AND seq > {cut[1]})" if cut else ""))
+
+
+def signed_column(texts: bool, schema: T.StructType, needed: tuple[str, ...]) -> Column:
+    """The generator of ``signed_rows``; ``texts``: values are maps of texts.  It can be used for any batch."""
     there = {f.name: f.dataType for f in schema}
     if missing := [c for c in needed if c not in there]:
         raise SchemaDriftError(f"the source has no column {', '.join(missing)}")
-    rows = changes.where(F.col("op").isin("I", "U", "D") if cut is None else F.col("op").isin("I", "U", "D") & (F.struct("end_lsn", "seq") > F.struct(F.lit(cut[0]).alias("end_lsn"), F.lit(cut[1]).alias("seq"))))
     no_old = F.raise_error(F.concat(F.lit("an update or delete lacks its old row, at "), F.col("end_lsn").cast("string")))
     old_there = F.when(F.col("op").isin("U", "D") & F.col("old").isNull(), no_old.cast("boolean")).otherwise(F.col("old").isNotNull())
     no_column = lambda side, c: F.raise_error(F.lit(f"a {side} row lacks the column {c}")).cast(there[c])
@@ -60,4 +68,4 @@ def signed_rows(changes: DataFrame, schema: T.StructType, needed: tuple[str, ...
     going = F.when(old_there & F.col("op").isin("U", "D"), F.struct(F.lit(-1).alias(SIGN), *old))
     coming = F.when(F.col("op").isin("I", "U"), F.struct(F.lit(1).alias(SIGN), *new))
     # two structs, of which some are null: no shuffle and no second scan
-    return rows.select(F.inline(F.filter(F.array(going, coming), lambda x: x.isNotNull())))
+    return F.inline(F.filter(F.array(going, coming), lambda x: x.isNotNull()))

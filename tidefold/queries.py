@@ -144,7 +144,7 @@ def _unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _engine(spark: SparkSession, *views: ViewSpec) -> tuple[Engine, str]:
     root = f"{shared_dir(spark)}/views-{uuid.uuid4().hex}"
-    return Engine(spark, Config("file", views), f"{root}/state", buckets=4), root
+    return Engine(spark, Config("file", views), f"{root}/state", runs=4), root
 
 
 def _redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
