@@ -344,6 +344,51 @@ def test_leaks_with_substitutions(spark, odd_docs, no_docs):
     assert decontaminate.leaks(odd_docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def brute_leaks(docs, items):
+    """All alignments of all pairs, without seeds."""
+    out = {}
+    for d, t in docs:
+        x = words(t)
+        for i, u in items:
+            y = words(u)
+            if len(y) < decontaminate.LEAST:
+                continue
+            for shift in range(1 - len(y), len(x)):
+                a, b = max(0, -shift), min(len(y), len(x) - shift)
+                m, s, e = decontaminate.best_stretch(np.array([x[j + shift] == y[j] for j in range(a, b)], bool))
+                if m >= min(decontaminate.MATCHED, -(-4 * len(y) // 5)):
+                    out[d, i] = max(out.get((d, i), ()), (m, s - e, -(a + s + shift), -(a + s)))
+    return {(*k, m, -n, -d, -i) for k, (m, n, d, i) in out.items()}
+
+
+def test_leaks_are_those_of_all_alignments(spark):
+    rng, items = random.Random(12), []
+    for n in [*range(5, 26), 30, 80, 200]:
+        items.append((n, " ".join(f"w{rng.randrange(40)}" for _ in range(n))))
+    docs = []
+    for k in range(150):
+        n, t = items[k % len(items)]
+        w = t.split()
+        for j in rng.sample(range(n), min(n, rng.choice([n // 5, n // 5, n // 4, 2 + n // 3]))):
+            w[j] = f"x{j}"
+        a = rng.choice([0, 0, 1, n // 3])
+        docs.append((k, " ".join([f"w{rng.randrange(40)}" for _ in range(rng.choice([0, 3, 30]))] + w[a:] + [f"w{rng.randrange(40)}" for _ in range(rng.choice([0, 20]))])))
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    expected = brute_leaks(docs, items)
+    assert {tuple(r) for r in got} == expected and len({i for _, i, *_ in expected}) > 18
+
+
+def test_masks_lose_no_placement_of_substitutions():
+    import itertools
+
+    for n in range(5, 25):
+        kinds = [np.array([x == "1" for x in m]) for m in decontaminate.masks_for(n)]
+        for missing in itertools.combinations(range(n), n - min(n, -(-4 * n // 5)) if n > 9 else 1):
+            same = np.ones(n, bool)
+            same[list(missing)] = False
+            assert any(same[s : s + len(m)][m].all() for m in kinds for s in range(n - len(m) + 1)), (n, missing)
+
+
 def test_best_stretch():
     assert decontaminate.best_stretch(np.array([0, 1, 1, 1, 0, 0, 1], bool)) == (3, 1, 4)
     assert decontaminate.best_stretch(np.array([1] * 5 + [0] + [1] * 5, bool)) == (10, 0, 11)
