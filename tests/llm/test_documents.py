@@ -197,13 +197,9 @@ def brute_lines(rows, sites=8):
     common = {x for x, s in on.items() if x and len(s) >= sites}
     out = Counter()
     for d, t, _ in rows:
-        if t is None:
-            out[d, None, 0, 0] += 1
-            continue
-        lines = t.split("\n")
-        cut = [x for x in lines if trim(x) in common]
-        few = cut and 100 * sum(len(trim(x)) for x in cut) <= 30 * sum(len(trim(x)) for x in lines)
-        out[d, "\n".join(x for x in lines if trim(x) not in common) if few else t, sum(trim(x) != "" for x in lines), len(cut) if few else 0] += 1
+        lines = [] if t is None else t.split("\n")
+        cut = [trim(x) for x in lines if trim(x) in common]
+        out[d, None if t is None else "\n".join(x for x in lines if trim(x) not in common), sum(trim(x) != "" for x in lines), len(cut), sum(map(len, cut))] += 1
     return out
 
 
@@ -219,10 +215,16 @@ def test_line_dedup_is_exact(spark, odd_docs, no_docs):
     rows += [(1000 + k, "copied first line here.\ncopied second line here.", f"site{k % 14}") for k in range(30)]
     odd = [(r["doc_id"], r["text"], r["source"]) for r in odd_docs.select("doc_id", "text", "source").collect()]
     docs = with_clashes(spark.createDataFrame(rows + odd, "doc_id long, text string, source string"))
-    got = Counter((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in line_dedup.clean(docs).collect())
+    as_rows = lambda df: Counter((r["doc_id"], r["text"], r["n_lines"], r["n_removed"], r["removed_chars"]) for r in df.collect())
+    got = as_rows(line_dedup.clean(docs))
     assert got == brute_lines(rows + odd)
+    assert any(t == "" and n for _, t, _, n, _ in got)  # short carriers are cleaned too
     assert sum(k[3] for k in got) > 0
     assert line_dedup.clean(no_docs).count() == 0
+    # many lines, all of them shared, and a row that is repeated often
+    long = "\n".join(f"line {k} of a long document" for k in range(40_000))
+    many = [(k, long, f"s{k}") for k in range(8)] + [(9, long[:300], "s1")] * 200 + [(10, f"own\n{long}\n own \n\nlast", "s2")]
+    assert as_rows(line_dedup.clean(spark.createDataFrame(many, "doc_id long, text string, source string"))) == brute_lines(many)
 
 
 # 6: secrets

@@ -3,12 +3,11 @@
 For each distinct line, trimmed of ASCII white space, a HyperLogLog sketch counts the distinct sites (values of ``source``, null
 being one of them) it stands on; sketches of tasks are merged by aggregation.  Lines whose estimate is further than
 ``BAND`` (relative) from the threshold are decided by it; those near it get an exact distinct count.  A line
-on ``sites`` sites or more is boilerplate and is removed from every document, unless the removed lines
-would hold more than ``most_percent`` in a hundred of the document's characters in lines: such a document is left whole.
-That is not a test for copies; short documents that carry a spread line are left whole too.
+on ``sites`` sites or more is boilerplate and is removed from every document, however much of it that is; ``removed_chars``
+says how much, for a caller who wants to leave out documents of which little is left.
 
 ``clean`` returns one row per row of the input: its ``doc_id``, ``text`` without the removed lines, ``n_lines``
-(lines with a character other than ASCII white space) and ``n_removed``.  Lines are separated by line feeds; blank lines
+(lines with a character other than ASCII white space), ``n_removed`` and ``removed_chars`` (of the removed lines, trimmed).  Lines are separated by line feeds; blank lines
 are never removed, and a text from which nothing is removed comes back as it was.  A null text stays null with no
 lines.  Rows are told apart by ``doc_id`` and text, so that repeated rows are cleaned alike, and null ids are cleaned
 too.  Further columns are ignored.
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tidefold.llm._shared import Tables, own_columns
 
-SITES, LG_K, BAND, MOST_PERCENT = 8, 12, 0.1, 30
+SITES, LG_K, BAND = 8, 12, 0.1
 TRIM = " \t\n\v\f\r"
 
 
@@ -42,11 +41,11 @@ def boilerplate(docs: DataFrame, tables: Tables, sites: int = SITES) -> DataFram
 
 
 def line_hash(line: Column) -> Column:
-    """Two independent 64-bit hashes, so that no two lines of any corpus meet."""
+    """Two independent 64-bit hashes: among 10**14 distinct lines, two that meet are as likely as one in 10**10."""
     return F.struct(F.xxhash64(line).alias("x"), F.xxhash64(F.lit(1), line, F.length(line)).alias("y"))
 
 
-def clean(docs: DataFrame, sites: int = SITES, most_percent: int = MOST_PERCENT, carry: list[str] | None = None) -> DataFrame:
+def clean(docs: DataFrame, sites: int = SITES, carry: list[str] | None = None) -> DataFrame:
     """See the module.  ``carry``: further columns to return, in the struct ``row``."""
     tables = Tables(docs.sparkSession, "line-dedup")
     if carry:
@@ -56,36 +55,31 @@ def clean(docs: DataFrame, sites: int = SITES, most_percent: int = MOST_PERCENT,
     # of a row: two hashes, since ids may be null or repeated
     d = d.withColumn("k1", F.xxhash64("doc_id", "text")).withColumn("k2", F.xxhash64(F.lit(1), "text", "doc_id"))
     lines = F.split("text", "\n")
-    held = d.select("k1", "k2", F.explode(F.array_distinct(F.transform(lines, trimmed))).alias("line")).where("line <> ''").select("k1", "k2", line_hash(F.col("line")).alias("h")).distinct()
-    found = held.join(common, "h").groupBy("k1", "k2").agg(F.collect_set("h").alias("gone"))  # at most the document's own lines
+    held = d.select("k1", "k2", F.posexplode(F.transform(lines, trimmed)).alias("at", "line")).where("line <> ''").select("k1", "k2", F.struct("at", F.length("line").alias("size")).alias("gone"), line_hash(F.col("line")).alias("h"))
+    # a set, at most the document's own lines, however often the row is repeated
+    found = held.join(common, "h").groupBy("k1", "k2").agg(F.collect_set("gone").alias("gone"))
     d = d.join(found, ["k1", "k2"], "left")
-    is_gone = lambda x: F.array_contains("gone", line_hash(trimmed(x)))
-    size = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + F.length(trimmed(x)))
-    d = d.withColumn("cut", F.when(F.col("gone").isNotNull(), F.filter(lines, is_gone)))
-    d = d.withColumn("few", F.coalesce(100 * size(F.col("cut")).cast("long") <= most_percent * size(lines).cast("long"), F.lit(False)))
-    text = F.when(F.col("few"), F.array_join(F.filter(lines, lambda x: ~is_gone(x)), "\n")).otherwise(F.col("text"))
+    # by place and with a set operation, in time proportional to the lines; the lines are a variable, so that they are split once
+    rest = lambda ls: F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.transform("gone", lambda x: x["at"]))
+    left = F.transform(F.array(lines), lambda ls: F.array_join(F.transform(rest(ls), lambda i: F.get(ls, i)), "\n"))[0]
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
     full = F.size(F.filter(lines, lambda x: trimmed(x) != ""))
-    return d.select("doc_id", text.alias("text"), F.when(F.col("text").isNotNull(), full).otherwise(0).alias("n_lines"), F.when(F.col("few"), F.size("cut")).otherwise(0).alias("n_removed"), *["row"] * bool(carry))
-
+    size = F.aggregate("gone", F.lit(0).cast("long"), lambda n, x: n + x["size"])
+    return d.select("doc_id", text.alias("text"), F.when(F.col("text").isNotNull(), full).otherwise(0).alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_removed"), F.when(F.col("gone").isNull(), 0).otherwise(size).alias("removed_chars"), *["row"] * bool(carry))
 
 
 def sql(docs: str = "documents") -> str:
     """The same in DuckDB's SQL over the relation ``docs``, with exact counts throughout."""
+    trim = "trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
     return rf"""
-WITH d AS (SELECT doc_id, text, coalesce(source, chr(0)) AS site, string_split(text, chr(10)) AS lines FROM {docs}),
-l AS (SELECT site, unnest(list_distinct(list_transform(lines, lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))))) AS line FROM d),
-common AS (SELECT line FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= 8),
-gone AS (SELECT list(line) AS gone FROM common),
-s AS (
-  SELECT doc_id, text, lines, list_transform(lines, lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS bare, coalesce(gone, []) AS gone FROM d, gone),
-c AS (SELECT *, list_filter(bare, lambda x: list_contains(gone, x)) AS cut FROM s),
-f AS (
-  SELECT *, len(cut) > 0 AND 100 * coalesce(list_sum(list_transform(cut, lambda x: length(x))), 0) <= 30 * coalesce(list_sum(list_transform(bare, lambda x: length(x))), 0) AS few FROM c)
-SELECT doc_id,
-  CASE WHEN few THEN array_to_string(list_filter(lines, lambda x: NOT list_contains(gone, trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))), chr(10)) ELSE text END AS text,
-  CAST(coalesce(len(list_filter(bare, lambda x: x <> '')), 0) AS INTEGER) AS n_lines,
-  CAST(CASE WHEN few THEN len(cut) ELSE 0 END AS INTEGER) AS n_removed
-FROM f
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, coalesce(source, chr(0)) AS site, string_split(text, chr(10)) AS lines FROM {docs}),
+l AS (SELECT r, site, x, {trim} AS line, i FROM (SELECT r, site, unnest(lines) AS x, unnest(range(len(lines))) AS i FROM d)),
+common AS (SELECT line FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= {SITES}),
+a AS (
+  SELECT r, string_agg(x, chr(10) ORDER BY i) FILTER (c.line IS NULL) AS rest, count(*) FILTER (l.line <> '') AS n, count(c.line) AS gone, sum(CASE WHEN c.line IS NULL THEN 0 ELSE length(l.line) END) AS chars
+  FROM l LEFT JOIN common c ON c.line = l.line GROUP BY r)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(rest, '') END AS text, CAST(coalesce(n, 0) AS INTEGER) AS n_lines, CAST(coalesce(gone, 0) AS INTEGER) AS n_removed, CAST(coalesce(chars, 0) AS BIGINT) AS removed_chars
+FROM d LEFT JOIN a USING (r)
 """
 
 
