@@ -438,6 +438,23 @@ def test_mixing_meets_targets(spark, odd_docs, no_docs):
     assert mixing.mix(no_docs).count() == 0
 
 
+def test_seats_are_those_of_the_highest_quotients(spark):
+    rng, rows = random.Random(11), []
+    for g in range(40):
+        rows += [(g, k, rng.choice([0.0, 0.4, 0.5, 1.4, 2.45, 30.4, 1000.4, 9.45, 77.55, rng.random() * 20])) for k in range(rng.choice([1, 3, 12, 60]))]
+    got = {(r["g"], r["t"]): r["q"] for r in mixing.apportioned(spark.createDataFrame(rows, "g long, t long, x double"), "g", "x", "t").collect()}
+    assert len(got) == len(rows)
+    for g in range(40):
+        mine = [(t, x) for h, t, x in rows if h == g]
+        house, seats = int(sum(int(x * 1_000_000 + 0.5) for _, x in mine) / 1_000_000 + 0.5), Counter()
+        for _ in range(house):
+            best = max(mine, key=lambda c: (c[1] / (2 * seats[c[0]] + 1), -c[0]))
+            seats[best[0]] += 1
+        assert sum(got[g, t] for t, _ in mine) == house
+        worst = max(x / (2 * got[g, t] + 1) for t, x in mine)  # no seat that was not given has a higher quotient than one that was
+        assert all(got[g, t] == 0 or x / (2 * got[g, t] - 1) >= worst - 1e-12 for t, x in mine)
+
+
 def test_mixing_over_many_shards(spark):
     rows = [(i, text(i, 50), "ab"[i % 2]) for i in range(600)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), shard_words=700).collect()

@@ -2,16 +2,16 @@
 
 Sources in code-point order, null last, weigh ``weights`` in turn and share the corpus' words; no target is above
 ``most`` times its source's size, and what is above goes to the others by weight.  With
-blocks of ``block`` words, a source has as many blocks as quotients target / (2k - 1) reach
-block / 2: that is Sainte-Laguë's allocation, target / block rounded.  A source's documents are dealt
-to shards of about ``shard_words`` words by a seeded hash; each shard's stream of words is cut into blocks of equal
-length, and the source's blocks are apportioned to its shards in the same way, the last ones by highest quotient.
+blocks of ``block`` words, the mix has as many blocks as its words make, rounded, and they go to the sources with the highest quotients
+target / (2k - 1) for the k-th block: that is Sainte-Laguë's allocation.  A source's documents are dealt
+to shards of about ``shard_words`` words by a seeded hash of the row; each shard's stream of words is cut into blocks of equal
+length, and the source's blocks are apportioned to its shards in the same way.
 A quota of f times the shard's blocks and r more takes every word f times, and r blocks that a seeded
 permutation picks once more.
 
 ``mix`` returns one row per row of the input: ``doc_id, size, source_size, target, taken``.  ``size`` is the number of
 words; a null text has none.  ``taken`` counts the words the mix takes, repeats included, at most ``most``
-times the size.  Null ids, repeated rows and ties are dealt by what the row holds, so reruns agree.
+times the size.  Null ids, repeated rows and ties are dealt by what the row holds, so reruns agree; rows alike in id and text are in one shard.
 An empty corpus gives no rows; a corpus without words takes nothing.  Further columns are ignored.
 """
 
@@ -63,29 +63,45 @@ def targets(sizes: DataFrame, tables: Tables, weights: tuple[int, ...], most: in
     return sources.withColumn("target", target), total, n
 
 
+def apportioned(claims: DataFrame, group: str, x: str, tie: str) -> DataFrame:
+    """``claims`` with ``q``: how many of a group's seats, its claims ``x`` added up and rounded, Sainte-Laguë's method gives each.
+
+    Each claim rounded is the allocation for another number of seats, so only the difference is dealt, by highest quotients.  With S
+    claims of sum X the multiplier that leads to the right number is within (S + 1) / 2X of 1, which bounds the seats that any one claim may gain
+    or lose: altogether there are fewer candidates than three for each claim.
+    """
+    whole = Window.partitionBy(group)
+    c = claims.withColumn("q", F.floor(F.col(x) + 0.5)).withColumn("millionths", F.floor(F.col(x) * 1_000_000 + 0.5))  # whole numbers add up alike in any order
+    c = c.withColumn("all", F.sum("millionths").over(whole)).withColumn("over", F.expr("(all + 500000) div 1000000") - F.sum("q").over(whole))
+    most = F.ceil(F.col(x) * (F.count("*").over(whole) + 1) * 500_000 / F.col("all")) + 1
+    c = c.withColumn("most", F.when((F.col("over") != 0) & (F.col("all") > 0), F.least(F.abs("over"), most)))
+    columns = [k for k in c.columns if k not in ("millionths", "all", "most")]
+    c = c.select(*columns, F.explode_outer(F.when(F.col("most") > 0, F.sequence(F.lit(1).cast("long"), F.col("most")))).alias("j"))
+    gain = F.when(F.col("over") > 0, F.col(x) / (2 * (F.col("q") + F.col("j")) - 1)).when(F.col("q") >= F.col("j"), -F.col(x) / (2 * (F.col("q") - F.col("j")) + 1))
+    place = F.row_number().over(whole.orderBy(F.when(F.col("j").isNotNull(), gain).desc_nulls_last(), tie, "j"))
+    c = c.withColumn("gains", (F.col("j").isNotNull() & (place <= F.abs("over"))).cast("long"))
+    c = c.groupBy(*columns).agg(F.sum("gains").alias("gains"))
+    return c.withColumn("q", F.col("q") + F.signum("over").cast("long") * F.col("gains")).drop("over", "gains")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, shard_words: int = SHARD_WORDS, block: int | None = None) -> DataFrame:
     """``doc_id, size, source_size, target, taken``; see the module.  ``block`` is by default a two-thousandth of a source's mean size, 1 to 1024 words."""
     tables = Tables(docs.sparkSession, "mixing")
     slim = own_columns(docs, "doc_id", "source", "text")
-    sizes = tables.keep(slim.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
+    slim = slim.withColumn("own", F.md5("text"))
+    sizes = tables.keep(slim.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), _dice(seed, "doc_id", "own").alias("dice")))
     sources, total, n = targets(sizes, tables, weights, most)
     block = block or min(1024, max(1, total // (2000 * max(1, n))))
-    # the blocks of a source: its target over the block, rounded
-    seats = F.floor(F.col("target") / block + 0.5)
-    sources = sources.withColumn("ratio", F.when(F.col("source_size") > 0, F.least(seats * block / F.col("source_size"), F.lit(float(most)))).otherwise(0.0))
+    sources = tables.keep(apportioned(sources.withColumn("claim", F.col("target") / block).withColumn("g", F.lit(0)), "g", "claim", "rank").drop("g", "claim"))
+    sources = sources.withColumn("ratio", F.when(F.col("source_size") > 0, F.least(F.col("q") * block / F.col("source_size"), F.lit(float(most)))).otherwise(0.0))
     sources = sources.withColumn("shards", F.ceil(F.greatest(F.col("source_size"), F.lit(1)) / shard_words))
     dealt = sizes.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    dealt = dealt.withColumn("dice", _dice(seed, "doc_id")).withColumn("shard", F.col("dice") % F.col("shards"))
+    dealt = dealt.withColumn("shard", F.col("dice") % F.col("shards"))
     dealt = dealt.select("doc_id", "size", "source_size", "target", "ratio", "rank", "shard", "dice")
 
     shards = dealt.groupBy("rank", "shard").agg(F.sum("size").alias("words"), F.first("ratio").alias("ratio"))
     shards = shards.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("words") / block)))
-    shards = shards.withColumn("ideal", F.col("ratio") * F.col("blocks")).withColumn("q", F.floor(F.col("ideal") + 0.5))
-    whole = Window.partitionBy("rank")
-    shards = shards.withColumn("over", F.floor(F.sum("ideal").over(whole) + 0.5) - F.sum("q").over(whole))
-    up = F.row_number().over(whole.orderBy((F.col("ideal") / (2 * F.col("q") + 1)).desc(), "shard"))
-    down = F.row_number().over(whole.orderBy(F.when(F.col("q") > 0, F.col("ideal") / (2 * F.col("q") - 1)).asc_nulls_last(), "shard"))
-    shards = shards.withColumn("q", F.col("q") + F.when((F.col("over") > 0) & (up <= F.col("over")), 1).when((F.col("over") < 0) & (down <= -F.col("over")), -1).otherwise(0))
+    shards = apportioned(shards.withColumn("ideal", F.col("ratio") * F.col("blocks")), "rank", "ideal", "shard")
     shards = shards.withColumn("q", F.greatest(F.lit(0), F.least("q", F.col("blocks") * most)))
     turn = _dice(seed, "rank", "shard")
     prime = F.element_at(F.array(*[F.lit(p) for p in PRIMES]), (turn % len(PRIMES) + 1).cast("int")).cast("long")
@@ -104,8 +120,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
 
 def sql(docs: str = "documents") -> str:
     """The same in DuckDB's SQL, with the default parameters, over the relation ``docs``."""
+
+    def seats(name: str, claims: str, x: str, group: str, tie: str) -> str:
+        """CTEs that end in ``name``: the relation ``claims`` with its seats in ``q``."""
+        return f"""
+{name}1 AS (SELECT *, CAST(floor({x} + 0.5) AS BIGINT) AS q0, CAST(sum(CAST(floor({x} * 1000000 + 0.5) AS BIGINT)) OVER g AS BIGINT) AS whole_, count(*) OVER g AS s_ FROM {claims} WINDOW g AS (PARTITION BY {group})),
+{name}2 AS (SELECT *, (whole_ + 500000) // 1000000 - CAST(sum(q0) OVER (PARTITION BY {group}) AS BIGINT) AS over_ FROM {name}1),
+{name}3 AS (SELECT {group} AS g, {tie} AS t, {x} AS x, q0, over_, unnest(range(1, least(abs(over_), CAST(ceil({x} * (s_ + 1) * 500000 / whole_) AS BIGINT) + 1) + 1)) AS j FROM {name}2 WHERE over_ <> 0 AND whole_ > 0),
+{name}4 AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY CASE WHEN over_ > 0 THEN x / (2 * (q0 + j) - 1) WHEN q0 >= j THEN -x / (2 * (q0 - j) + 1) END DESC NULLS LAST, t, j) AS place FROM {name}3),
+{name}5 AS (SELECT g, t, count(*) AS k FROM {name}4 WHERE place <= abs(over_) GROUP BY g, t),
+{name} AS (SELECT c.*, c.q0 + sign(c.over_) * coalesce(k, 0) AS q FROM {name}2 c LEFT JOIN {name}5 p ON p.g = c.{group} AND p.t = c.{tie})"""
+
     return rf"""
-WITH z AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) END AS size FROM {docs}),
+WITH z AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) END AS size, ('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(md5(text), 'null')), 1, 15))::BIGINT AS dice FROM {docs}),
 so AS (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM z GROUP BY source),
 ra AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM so),
 we AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM ra),
@@ -115,20 +142,14 @@ o AS (SELECT *, row_number() OVER (ORDER BY n::DOUBLE / w, rank) AS k FROM we),
 c AS (SELECT k, n, w, coalesce(sum(3 * n) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held, sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free FROM o),
 l AS (SELECT (total - held)::DOUBLE / free::DOUBLE AS share FROM c, tt WHERE 3 * n >= w * ((total - held)::DOUBLE / free::DOUBLE) ORDER BY k LIMIT 1),
 ta AS (SELECT we.*, least(w * share, (3 * n)::DOUBLE) AS target, greatest(1, n) AS least_n FROM we, l),
-st AS (
-  SELECT ta.*, CASE WHEN n > 0 THEN least(floor(target / block + 0.5) * block / n, 3.0) ELSE 0 END AS ratio, CAST(ceil(least_n / {SHARD_WORDS}) AS BIGINT) AS shards FROM ta, tt),
-de AS (
-  SELECT doc_id, size, n, target, ratio, rank, ('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15))::BIGINT AS dice, shards
-  FROM z JOIN st ON z.source IS NOT DISTINCT FROM st.source),
+cl AS (SELECT ta.*, target / block AS claim, 0 AS one FROM ta, tt),{seats("se", "cl", "claim", "one", "rank")},
+st AS (SELECT se.*, CASE WHEN n > 0 THEN least(q * block / n, 3.0) ELSE 0 END AS ratio, CAST(ceil(least_n / {SHARD_WORDS}) AS BIGINT) AS shards FROM se, tt),
+de AS (SELECT doc_id, size, n, target, ratio, rank, dice, shards FROM z JOIN st ON z.source IS NOT DISTINCT FROM st.source),
 dd AS (SELECT *, dice % shards AS shard FROM de),
 s1 AS (SELECT rank, shard, CAST(sum(size) AS BIGINT) AS words, any_value(ratio) AS ratio FROM dd GROUP BY rank, shard),
 s2 AS (SELECT *, CAST(greatest(1, ceil(words / block)) AS BIGINT) AS blocks FROM s1, tt),
-s3 AS (SELECT *, ratio * blocks AS ideal, CAST(floor(ratio * blocks + 0.5) AS BIGINT) AS q FROM s2),
-s4 AS (
-  SELECT *, CAST(floor(sum(ideal) OVER r + 0.5) AS BIGINT) - CAST(sum(q) OVER r AS BIGINT) AS over_,
-    row_number() OVER (PARTITION BY rank ORDER BY ideal / (2 * q + 1) DESC, shard) AS up, row_number() OVER (PARTITION BY rank ORDER BY CASE WHEN q > 0 THEN ideal / (2 * q - 1) END ASC NULLS LAST, shard) AS down
-  FROM s3 WINDOW r AS (PARTITION BY rank)),
-s5 AS (SELECT rank, shard, words, blocks, greatest(0, least(q + CASE WHEN over_ > 0 AND up <= over_ THEN 1 WHEN over_ < 0 AND down <= -over_ THEN -1 ELSE 0 END, 3 * blocks)) AS q,
+s3 AS (SELECT *, ratio * blocks AS ideal FROM s2),{seats("s4", "s3", "ideal", "rank", "shard")},
+s5 AS (SELECT rank, shard, words, blocks, CAST(greatest(0, least(q, 3 * blocks)) AS BIGINT) AS q,
   ('0x' || substr(md5('{SEED}:' || rank || ':' || shard), 1, 15))::BIGINT AS turn FROM s4),
 s6 AS (SELECT *, q // blocks AS whole, q % blocks AS extra, [{", ".join(map(str, PRIMES))}][turn % {len(PRIMES)} + 1]::BIGINT AS prime, turn % blocks AS first_ FROM s5),
 pl AS (SELECT *, CAST(sum(size) OVER (PARTITION BY rank, shard ORDER BY dice, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS e FROM dd),
