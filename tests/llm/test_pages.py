@@ -130,6 +130,15 @@ TEXT = "A title & more First paragraph of some length, which says a lot of thing
         (f"<div id=header><p>Name of the site</p></div><div id=content>{ARTICLE}</div><div id=footer><p>Some words at the end.</p></div>", TEXT),
         (f"<article>{ARTICLE}<ul class='share-links'><li>Share</li></ul><aside><p>Aside of some length here.</p></aside></article>", TEXT),
         ("just a plain text", "just a plain text"),
+        (f"<div class='post no-comments'>{ARTICLE}</div>", TEXT),
+        (f"<article class='hentry comments-open'>{ARTICLE}</article><footer>me</footer>", TEXT),
+        (f"<article class='ad-hoc-report'>{ARTICLE}</article><div class=ad>Buy now.</div>", TEXT),
+        (f"<nav><a href=1>One</a></nav><div class='emergency-response responses'>{ARTICLE}</div>", TEXT),
+        (f"<article>{ARTICLE}<section id=discussion><p>What this means is said here.</p></section></article>", TEXT + " What this means is said here."),
+        (f"<body class=menu><div hidden>{ARTICLE}</div><div class=menu><a href=1>One</a></div></body>", TEXT),
+        (f"<div class='post comments-open'>{ARTICLE}<div class=comments><p>A reader says so.</p></div></div><div class=sidebar><p>Other</p></div>", TEXT),
+        (f"<div><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul><div>{ARTICLE}<p><a href=3>All of this is a link.</a></p></div></div>", TEXT),
+        (f"<main>{ARTICLE}<p><a href=3>All of this is a link.</a></p></main>", TEXT + " All of this is a link."),
         ("<p>a < b and &lt;tag&gt; &unknown; x</p>", "a < b and <tag> &unknown; x"),
     ],
 )
@@ -144,6 +153,52 @@ def test_extraction_on_tables(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_markup_of_any_shape_takes_linear_time():
+    import time
+
+    n = 60_000
+    shapes = ["<div>" * n + "</p>" * n, "<b>" * n + "<li>x</li>" * n, "<b>" * n + "</i>" * n, "<div class='ad'>" * n + "word " * 10, "".join(f"<div class='ad-{'x' * (k % 7)}{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}'>w" for k in range(n)), "<p><a href=1>" * n, "<article>" * n + "text", "<td>" * n + "</table>" * n]
+    for t in shapes:
+        start = time.perf_counter()
+        html_text.main_text(t)
+        assert time.perf_counter() - start < 20, t[:30]
+
+
+def brute_content(lines):
+    """Ratios, kernel and threshold by their definitions, line by line."""
+    import math
+
+    ratio = [(len(t) - min(linked, len(t))) / tags for t, tags, linked, *_ in lines]
+    r, out = max(1, math.ceil(2 * html_text.SIGMA)), []
+    for k in range(len(ratio)):
+        near = [j for j in range(k - r, k + r + 1) if 0 <= j < len(ratio)]
+        w = [math.exp(-((j - k) ** 2) / (2 * html_text.SIGMA**2)) for j in near]
+        out.append(sum(a * ratio[j] for a, j in zip(w, near, strict=True)) / sum(w))
+    mean = sum(out) / len(out)
+    return [x > html_text.THRESHOLD * math.sqrt(sum((y - mean) ** 2 for y in out) / len(out)) for x in out]
+
+
+@pytest.mark.parametrize("tag", ["div", "section", "td"])
+def test_pages_without_an_article(spark, sf, tag):
+    """Ratio, smoothing and threshold against their definitions, and whole extractions where only they can tell."""
+    import html
+    import re
+
+    close, caught, all_of = f"</{tag}>", 0, 0
+    pages = [p["html"] for p in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    for page in pages:
+        h = page.replace("<article>", f"<{tag}>").replace("</article>", close)
+        lines = html_text._Lines()
+        lines.feed(h)
+        lines.close()
+        lines.end_line()
+        assert html_text.content_lines(lines.lines)[1].tolist() == brute_content(lines.lines)
+        inner = re.search(r"<article>(.*?)(</article>|$)", page, re.S)[1]
+        plain = " ".join(html.unescape(re.sub(r"<[^>]*>", lambda m: "" if m[0] in ("<b>", "</b>") else " ", inner)).split())
+        caught, all_of = caught + (html_text.main_text(h) == plain), all_of + 1
+    assert caught >= 0.95 * all_of
+
+
 def test_pages_of_the_test_tables(spark, sf):
     import html
     import re

@@ -3,12 +3,17 @@
 The standard library's parser gives events; block-level tags and line breaks bound lines.  A line's text-to-tag
 ratio is its characters, those of links left out, over its tags (at least one).  Ratios are smoothed
 with a Gaussian along the page; lines above ``THRESHOLD`` standard deviations of the smoothed ratios form the
-cluster of content lines.  The content region is the outermost ``article`` elements that hold content lines, else ``main``,
-else the smallest container with three quarters of the content lines' characters.  All lines of the region are
-kept, but for those in menus, headers, footers, sidebars, notices, adverts, forms and reader comments (by
-tag, role, class or id), and in regions without an article, those that are mostly links.  A form, or an element whose
-class or id only names a part of the layout ("with-sidebar"), is kept if it holds the article: an ``article`` or ``main``
-element, or on a page without one, more than ``MOST`` of the text.
+cluster of content lines, and their characters are the content.  Tags, roles, class names and ids only weigh:
+
+* What they say of menus, headers, footers, sidebars, notices, adverts, forms and reader comments counts as long as ``FREE`` of the
+  content, or of the page's characters ``FREE_ARTICLE`` in an ``article`` or ``main``, stands outside of all that is so marked.  Else the mark (a tag,
+  a role or one class name) that holds most of the content is taken to say nothing, and so on, until the rest is enough.  Then the
+  lines outside of marks are smoothed and clustered by themselves.
+* The content region is the smallest container with ``SHARE`` of the content outside of marks; content in ``article`` or ``main`` weighs
+  ``ARTICLE`` times as much, and a region is not narrowed below such an element.
+
+Of the region all lines outside of marks are kept but those that are mostly links; in an ``article`` or ``main``, only if another such
+line is next to them.
 
 ``extract`` returns one row per row of the input: ``page_id, url, text, n_chars``.  Character references are
 decoded, white space in a line becomes one space, lines are joined in page order by one space.  Null,
@@ -30,62 +35,74 @@ from pyspark.sql import functions as F
 
 from tidefold.llm._shared import own_columns
 
-SIGMA, THRESHOLD, SHARE, MOST, FEED = 1.0, 0.5, 0.75, 0.7, 1 << 16
+SIGMA, THRESHOLD, SHARE, FREE, FREE_ARTICLE, ARTICLE, FEED = 1.0, 0.5, 0.85, 0.1, 0.02, 4.0, 1 << 16
+_Line = tuple[str, int, int, int, int]
+#: Marks that are told apart; beyond that, class names with one word in common count as one.
+MARKS = 512
 
 #: Elements by role in the extraction.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-DROPPED = frozenset("nav header footer aside script style noscript template button select textarea option iframe object svg head title dialog menu audio video canvas math".split())
+DROPPED = frozenset("script style noscript template button select textarea option iframe object svg head title audio video canvas math".split())
+MARKED = frozenset("nav header footer aside dialog menu form".split())
 CONTAINERS = frozenset("html body div section article main td center".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar status toolbar".split())
-#: Words of class names and ids that mark adverts and what readers wrote, and those that mark parts of the layout.
-NEVER_ARTICLE = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors comment comments commentlist respond responses disqus reply replies reactions discussion".split())
-LAYOUT = frozenset(
+#: Words of class names and ids that mark what is not the article.
+MARK_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors comment comments commentlist respond responses disqus reply replies reactions "
     "promo promos promotion banner sidebar sidebars menu menus nav navbar navigation navi breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert popup modal overlay "
     "newsletter subscribe subscription signup share sharing social related recommended recommendations widget widgets toolbar pagination pager login paywall disclaimer footer masthead toc skip".split()
 )
-#: Whole class names and ids that mark parts of the layout.
-LAYOUT_WHOLE = frozenset("header site-header page-header top-header header-top topbar top-bar copyright site-info search searchbox search-form search-box legal".split())
-_WORDS = re.compile(r"[a-z]+")
+#: Whole class names and ids that do so.
+MARK_NAMES = frozenset("header site-header page-header top-header header-top topbar top-bar copyright site-info search searchbox search-form search-box legal".split())
+_WORDS, _DIGITS = re.compile(r"[a-z]+"), re.compile(r"[0-9]+")
 
 
-def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> str:
-    """"never" if an element is not the article for sure, "layout" if it may only be named after such a part, else ""."""
-    layout = tag == "form"
+def _marks(tag: str, attrs: list[tuple[str, str | None]]) -> list[tuple[str, str]]:
+    """What marks an element as other than the article: (mark, its word)."""
+    out = [(f"<{tag}>", tag)] if tag in MARKED else []
     for name, value in attrs:
         if name in ("class", "id") and value:
-            low = value.lower()
-            found = _WORDS.findall(low)
-            if not NEVER_ARTICLE.isdisjoint(found):
-                return "never"
-            layout = layout or not LAYOUT.isdisjoint(found) or not LAYOUT_WHOLE.isdisjoint(low.split())
-        elif name == "role" and value and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return "never"
-        elif name == "style" and value and "display:none" in value.replace(" ", "").lower():
-            return "never"
-    return "layout" if layout else ""
+            for c in value.lower().split():
+                found = MARK_WORDS.intersection(_WORDS.findall(c))
+                if found or c in MARK_NAMES:
+                    out.append((_DIGITS.sub("#", c), min(found, default=c)))
+        elif name == "role" and value and value.lower() in ROLES:
+            out.append((f"role={value.lower()}", "role"))
+        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and "display:none" in value.replace(" ", "").lower():
+            out.append(("hidden", "hidden"))
+    return out
 
 
 class _Lines(HTMLParser):
-    """Lines of a page with their tags, characters in links and innermost container."""
+    """Lines of a page: text, tags, characters in links, innermost container, marks.
+
+    Every event takes time in proportion to what it opens and closes, however deep or unbalanced the markup is.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int, tuple[int, ...]]] = []  # tag, whether what is in it is dropped, container, layout marks
+        self.open: list[tuple[str, bool, int, int]] = []  # tag, whether what is in it is dropped, container, marks as bits
+        self.count: dict[str, int] = {}  # of open elements by tag
         self.parent, self.kind = [-1], ["page"]
-        self.marks, self.held = 0, set()  # layout marks so far, and those with an article in them
-        self.lines: list[tuple[str, int, int, int, tuple[int, ...]]] = []
+        self.bits: dict[str, int] = {}  # the bit of each mark
+        self.lines: list[tuple[str, int, int, int, int]] = []
         self.parts: list[str] = []
-        self.tags = self.linked = self.links = 0
+        self.tags = self.linked = 0
 
     def end_line(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.lines.append((text, max(1, self.tags), self.linked, *(self.open[-1][2:] if self.open else (0, ()))))
+                self.lines.append((text, max(1, self.tags), self.linked, *(self.open[-1][2:] if self.open else (0, 0))))
             self.parts.clear()
         self.tags = self.linked = 0
 
+    def _bit(self, mark: str, word: str) -> int:
+        if mark not in self.bits and len(self.bits) >= MARKS:
+            mark = word
+        return 1 << self.bits.setdefault(mark, len(self.bits))
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID:
             if tag not in INLINE:
@@ -94,28 +111,24 @@ class _Lines(HTMLParser):
             return
         if tag not in INLINE:
             self.end_line()
-            if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option"):
+            if tag in ("p", "li", "tr", "td", "th", "dt", "dd"):
                 self._imply_end(tag)
         self.tags += 1
-        dropped, container, marks = self.open[-1][1:] if self.open else (False, 0, ())
+        dropped, container, marks = self.open[-1][1:] if self.open else (False, 0, 0)
         dropped = dropped or tag in DROPPED
-        if not dropped and (attrs or tag == "form") and tag not in ("html", "body"):
-            mark = _marked(tag, attrs)
-            dropped = mark == "never"
-            if mark == "layout":
-                marks = (*marks, self.marks)
-                self.marks += 1
-        if tag in ("article", "main") and not dropped:
-            self.held.update(marks)
-        if tag in CONTAINERS and not dropped:
-            self.parent.append(container)
-            self.kind.append(tag)
-            container = len(self.parent) - 1
-        self.links += tag == "a"
+        if not dropped:
+            if (attrs or tag in MARKED) and tag not in ("html", "body"):
+                for mark, word in _marks(tag, attrs):
+                    marks |= self._bit(mark, word)
+            if tag in CONTAINERS:
+                self.parent.append(container)
+                self.kind.append(tag)
+                container = len(self.parent) - 1
+        self.count[tag] = self.count.get(tag, 0) + 1
         self.open.append((tag, dropped, container, marks))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in VOID or tag not in INLINE and tag not in CONTAINERS | DROPPED | {"p"}:
+        if tag in VOID or tag not in INLINE and tag not in CONTAINERS | DROPPED | MARKED | {"p"}:
             self.end_line()
         else:
             self.handle_starttag(tag, attrs)
@@ -123,6 +136,8 @@ class _Lines(HTMLParser):
     def _imply_end(self, tag: str) -> None:
         """A new p, li or cell ends an open one, unless a container, a list or a table lies between."""
         ends = ("td", "th") if tag in ("td", "th") else ("dt", "dd") if tag in ("dt", "dd") else ("tr", "td", "th") if tag == "tr" else (tag,)
+        if not any(self.count.get(t) for t in ends):
+            return
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] in ends:
                 self._close(k)
@@ -131,12 +146,15 @@ class _Lines(HTMLParser):
                 return
 
     def _close(self, k: int) -> None:
-        self.links = max(0, self.links - sum(x[0] == "a" for x in self.open[k:]))
+        for x in self.open[k:]:
+            self.count[x[0]] -= 1
         del self.open[k:]
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
             self.end_line()
+        if not self.count.get(tag):
+            return
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
                 self.tags += 1
@@ -148,7 +166,7 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not (self.open and self.open[-1][1]):
             self.parts.append(data)
-            if self.links:
+            if self.count.get("a"):
                 self.linked += len(data)
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
@@ -163,43 +181,71 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return full / np.convolve(np.ones(len(ratios)), kernel)[r : r + len(ratios)]
 
 
-def _region(page: _Lines, content: np.ndarray, sizes: np.ndarray) -> tuple[list[bool], bool]:
-    """Which containers belong to the region; whether it is a marked article."""
-    n = len(page.parent)
-    at = [x[3] for x in page.lines]
-    mass = [0.0] * n
-    for k, c in enumerate(at):
-        if content[k]:
-            mass[c] += sizes[k]
-    for c in range(n - 1, 0, -1):
-        mass[page.parent[c]] += mass[c]
-    for kind in ("article", "main"):
-        roots = [c for c in range(n) if page.kind[c] == kind and mass[c] > 0]
-        if roots:
+def content_lines(lines: list[_Line]) -> tuple[np.ndarray, np.ndarray]:
+    """The characters outside of links of each line, and which lines are in the cluster of content."""
+    sizes = np.array([len(x[0]) - min(x[2], len(x[0])) for x in lines], dtype=float)
+    ratios = smoothed(sizes / np.array([x[1] for x in lines]))
+    return sizes, ratios > THRESHOLD * ratios.std()
+
+
+def _articles(page: _Lines) -> list[bool]:
+    """Which containers are in an article."""
+    out = [False] * len(page.parent)
+    for c in range(1, len(out)):
+        out[c] = out[page.parent[c]] or page.kind[c] in ("article", "main")
+    return out
+
+
+def _free(page: _Lines, article: list[bool]) -> list[_Line]:
+    """The lines outside of marks, leaving aside those marks that would leave too little."""
+    sizes, content = content_lines(page.lines)
+    by: dict[int, tuple[float, float]] = {}  # content, and characters in articles, behind each set of marks
+    for x, n, c in zip(page.lines, sizes, content, strict=True):
+        m, a = by.get(x[4], (0.0, 0.0))
+        by[x[4]] = (m + n * c, a + n * article[x[3]])
+    enough, enough_article, void = FREE * sum(m for m, _ in by.values()), FREE_ARTICLE * sizes.sum(), 0
+    while any(by):
+        m, a = by.get(0, (0.0, 0.0))
+        if m > enough or a > enough_article:
             break
-    else:
-        roots, total = [0], mass[0]
-        while True:
-            below = [c for c in range(roots[0] + 1, n) if page.parent[c] == roots[0] and mass[c] >= SHARE * total]
-            if not below or total <= 0:
-                break
-            roots = below[:1]
-        kind = ""
+        # the mark that alone stands before most content, else that which stands before most at all
+        held: dict[int, float] = {}
+        for marks, (m, _) in by.items():
+            if marks and not marks & (marks - 1):
+                held[marks] = held.get(marks, 0.0) + m
+        if not held:
+            for marks, (m, _) in by.items():
+                for k in range(marks.bit_length()):
+                    if marks >> k & 1:
+                        held[1 << k] = held.get(1 << k, 0.0) + m
+        gone = max(held, key=lambda k: (held[k], -k))
+        void |= gone
+        rest: dict[int, tuple[float, float]] = {}
+        for marks, (m, a) in by.items():
+            n, b = rest.get(marks & ~gone, (0.0, 0.0))
+            rest[marks & ~gone] = (m + n, a + b)
+        by = rest
+    return [x for x in page.lines if not x[4] & ~void]
+
+
+def _region(page: _Lines, lines: list[_Line], mass: np.ndarray, article: list[bool]) -> list[bool]:
+    """Which containers are in the region."""
+    n = len(page.parent)
+    held, heaviest = [0.0] * n, [0] * n
+    for x, m in zip(lines, mass, strict=True):
+        held[x[3]] += m * (ARTICLE if article[x[3]] else 1.0)
+    for c in range(n - 1, 0, -1):  # a container comes before those in it
+        p = page.parent[c]
+        held[p] += held[c]
+        if not heaviest[p] or held[c] >= held[heaviest[p]]:
+            heaviest[p] = c
+    root = 0
+    while not article[root] and heaviest[root] and held[0] > 0 and held[heaviest[root]] >= SHARE * held[0]:
+        root = heaviest[root]
     inside = [False] * n
     for c in range(n):
-        inside[c] = c in roots or c > 0 and inside[page.parent[c]]
-    return inside, bool(kind)
-
-
-def _without_layout(page: _Lines) -> None:
-    """Leave out the lines in layout elements, unless those hold the article."""
-    mass, total = [0] * page.marks, sum(len(x[0]) for x in page.lines)
-    for x in page.lines:
-        for m in x[4]:
-            mass[m] += len(x[0])
-    marked = "article" in page.kind or "main" in page.kind
-    held = page.held if marked else {m for m in range(page.marks) if mass[m] > MOST * total}
-    page.lines = [x for x in page.lines if held.issuperset(x[4])]
+        inside[c] = c == root or c > 0 and inside[page.parent[c]]
+    return inside
 
 
 def main_text(html: str | None) -> str:
@@ -210,16 +256,15 @@ def main_text(html: str | None) -> str:
         page.feed(html[i : i + FEED])
     page.close()
     page.end_line()
-    if page.marks:
-        _without_layout(page)
     if not page.lines:
         return ""
-    sizes = np.array([len(x[0]) - min(x[2], len(x[0])) for x in page.lines], dtype=float)
-    ratios = smoothed(sizes / np.array([x[1] for x in page.lines]))
-    content = ratios > THRESHOLD * ratios.std()
-    inside, marked = _region(page, content, sizes)
-    keep = [x[0] for k, x in enumerate(page.lines) if inside[x[3]] and (marked or content[k] or 2 * x[2] <= len(x[0]))]
-    return " ".join(keep)
+    article = _articles(page)
+    lines = _free(page, article)
+    sizes, content = content_lines(lines)
+    inside = _region(page, lines, np.where(content, sizes, 0.0), article)
+    links = [2 * x[2] > len(x[0]) for x in lines]
+    beside = [any(links[max(0, k - 1) : k] + links[k + 1 : k + 2]) for k in range(len(links))]
+    return " ".join(x[0] for k, x in enumerate(lines) if inside[x[3]] and (not links[k] or article[x[3]] and not beside[k]))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
