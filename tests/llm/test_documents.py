@@ -508,11 +508,70 @@ def test_a_very_long_text_keeps_no_other_out_of_the_sample(spark, monkeypatch):
     sizes = {d: 50_000 if k == 0 else 9_000 if k == 1 else 40 for k, d in enumerate(ids)}
     docs = spark.createDataFrame([(d, "x" * n) for d, n in sizes.items()], "doc_id long, text string")
     labels = spark.createDataFrame([(d, k % 2) for k, d in enumerate(ids)], "doc_id long, quality int")
-    monkeypatch.setattr(quality_crf, "fit", lambda texts, y: Counter((len(t), q) for t, q in zip(texts, y, strict=True)))
+    monkeypatch.setattr(quality_crf, "fit", lambda texts, y, good: Counter((len(t), q) for t, q in zip(texts, y, strict=True)))
     got = quality_crf.train(docs, labels, train_bytes=20_000)
     assert got == Counter((sizes[d], k % 2) for k, d in enumerate(ids) if sizes[d] <= 9_000)
 
 
+def plain_features(line):
+    """The features of a line, by character."""
+    w, n = words(line), len(words(line))
+    data = (line + "\n").encode()
+    upper = sum(c.isascii() and c.isupper() or "À" <= c <= "Þ" for c in line)
+    lower = sum(c.isascii() and c.islower() or "ß" <= c <= "ÿ" for c in line)
+    count = lambda marks: sum(line.count(c) for c in marks)
+    size, one, symbols = len(data), max(len(line.encode()) - count(" \t\v\f\r"), 1), count("#*$%&|<>=_~^\\/{}[]+@`")
+    distinct, letters = len(set(w)), upper + lower
+    twice = sum(a == b for a, b in zip(w, w[1:], strict=False))
+    return [1, np.log1p(n) / 4, np.log1p(size) / 6, upper / max(letters, 1), sum(c in "0123456789" for c in line) / one * 4, count(".,;:?!'\"()-") / n, min(symbols / n, 2), symbols > 0.3 * n, upper > 0.6 * letters, one / n / 8, distinct / n, min(twice / n * 4, 1), distinct < 0.4 * n and n >= 8, min(count(".?!") / n * 4, 2)]
+
+
+def test_scores_by_their_definition(spark):
+    """Whole scores: every labelling of a text's lines, its weight, and the words of the lines labelled good."""
+    rng = np.random.default_rng(4)
+    model = quality_crf.Model(rng.normal(size=42), rng.normal(size=(2, 2)), 3.0, -1.0)
+    bits = ["A line, of words.", "BUY NOW!!! $$$ %%%", "été Été à 12 34", "same same same same same same same same same", "", "  ", "x | y | z", "(ok) - \"fine\"?"]
+    texts = ["\n".join(rng.choice(bits, rng.integers(0, 8))) + "\n" for _ in range(60)] + ["", " \n "]
+    got = {r["doc_id"]: r["score"] for r in quality_crf.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for d, t in enumerate(texts):
+        lines = [x for x in t.split("\n") if words(x)]
+        x = np.array([plain_features(k) for k in lines], float).reshape(len(lines), 14)
+        zero, q, z = np.zeros((1, 14)), 0.0, 0.0
+        u = np.concatenate([x, np.concatenate([zero, x])[: len(x)], np.concatenate([x, zero])[1:]], axis=1) @ model.weights if len(x) else []
+        size = [len(words(k)) for k in lines]
+        for k in range(2 ** len(lines) if lines else 0):
+            y = [(k >> i) & 1 for i in range(len(lines))]
+            p = np.exp(sum(a * b for a, b in zip(u, y, strict=True)) + sum(model.trans[a, b] for a, b in zip(y, y[1:], strict=False)))
+            z, q = z + p, q + p * sum(a * b for a, b in zip(size, y, strict=True)) / sum(size)
+        assert got[d] == pytest.approx(1 / (1 + np.exp(-(3 * (q / z if z else 0) - 1))), abs=1e-9)
+
+
+def test_gradient_of_the_likelihood():
+    rng = np.random.default_rng(7)
+    text_of, y = np.array([0, 0, 0, 1, 2, 2]), np.array([1, 0, 1, 0, 1, 1])
+    u, trans = rng.normal(size=6), rng.normal(size=(2, 2))
+
+    def likelihood(u, trans):
+        out = 0.0
+        for c in range(3):
+            at = np.flatnonzero(text_of == c)
+            weigh = lambda s: sum(u[i] * a for i, a in zip(at, s, strict=True)) + sum(trans[a, b] for a, b in zip(s, s[1:], strict=False))  # noqa: B023,E731
+            out += weigh(list(y[at])) - np.log(sum(np.exp(weigh([(k >> i) & 1 for i in range(len(at))])) for k in range(2 ** len(at))))
+        return out
+
+    m, expected = quality_crf.forward_backward(u, trans, text_of, pairs=True)
+    same = text_of[1:] == text_of[:-1]
+    for i in range(6):
+        e = np.eye(6)[i] * 1e-6
+        assert (likelihood(u + e, trans) - likelihood(u - e, trans)) / 2e-6 == pytest.approx(y[i] - m[i], abs=1e-6)
+    for s in (0, 1):
+        for r in (0, 1):
+            e = np.zeros((2, 2))
+            e[s, r] = 1e-6
+            seen = (same & (y[:-1] == s) & (y[1:] == r)).sum()
+            assert (likelihood(u, trans + e) - likelihood(u, trans - e)) / 2e-6 == pytest.approx(seen - expected[s, r], abs=1e-6)
+
+
 def test_score_depends_on_the_text_alone(spark):
     sf = "/root/testdata/sf0.001"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

@@ -6,32 +6,34 @@ words; the same features of the neighbouring lines are features too.  Forward-ba
 line's marginal of being good; the mean of the marginals, weighted by the words of the lines, is the
 document's quality, which a logistic calibration maps to the probability of label 1.
 
-Training takes a bounded sample: the ``train_docs`` labelled documents with the smallest hash
-among those of the training fold, whole texts up to half of ``train_bytes`` for each label.  Texts of more than a 64th of
-``train_bytes`` come last, the smallest first, so that one that does not fit keeps out no other.  Each line takes the label of its document.
-Scores depend on the text alone.
+Training takes a bounded sample of the documents labelled in the training fold: of each label, the ``train_docs`` // 2 with the smallest hash
+of their id, whole texts up to half of ``train_bytes``.  Texts of more than a 64th of ``train_bytes`` come last, the smallest
+first, so that one that does not fit keeps out no other.  Sizes are looked at first, and only the texts chosen are moved.  Each line takes the
+label of its document; the transitions' weight is kept within ``TRANSITION`` at every step.  The calibration weighs both labels by their shares
+of all labels of the training fold, so that it does not depend on the sample's.  Scores depend on the text alone.
 
 ``score`` returns one row per row of the input: ``doc_id, held_out, score, predicted``.  A null or empty
 text, or one without words, has the calibrated score of quality 0.  Held out is crc32 of the decimal
-doc_id modulo 5 = 0; a null doc_id is not held out and never trains.  Documents labelled repeatedly count
-repeatedly; null labels are ignored.  Without any usable label every score is 0.5.  Further columns are ignored.
+doc_id modulo 5 = 0; a null doc_id is not held out and never trains.  Repeated labels and rows count
+once; null labels are ignored.  Without usable labels of both kinds every score is 0.5, and a warning is logged.  Further columns are ignored.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidefold.llm import _words as W
 from tidefold.llm._shared import own_columns
 
 FOLDS, THRESHOLD = 5, 0.3
-TRAIN_DOCS, TRAIN_BYTES, STEPS = 3000, 24_000_000, 150
+TRAIN_DOCS, TRAIN_BYTES, STEPS, TRANSITION = 3000, 24_000_000, 150, 1.0
 
 
 def _classes() -> np.ndarray:
@@ -182,19 +184,20 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.qualities(values) + self.intercept, -50, 50)))
 
 
-def _adam(theta: np.ndarray, grad, steps: int, rate: float) -> np.ndarray:
+def _adam(theta: np.ndarray, grad, steps: int, rate: float, project=lambda x: x) -> np.ndarray:
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, steps + 1):
         g = grad(theta)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        theta = theta + rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        theta = project(theta + rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8))
     return theta
 
 
-def fit(texts: list[str], labels: list[int], steps: int = STEPS) -> Model:
-    """A model from whole texts and their labels 0 and 1; deterministic."""
+def fit(texts: list[str], labels: list[int], good: float | None = None, steps: int = STEPS) -> Model:
+    """A model from whole texts and their labels 0 and 1; deterministic.  ``good``: the share of label 1 that the calibration assumes, by default the sample's."""
     k = 3 * _N_FEATURES
     if len(set(labels)) < 2:
+        logging.getLogger("tidefold").warning("the quality classifier lacks texts of both labels: every score is 0.5")
         return Model(np.zeros(k), np.zeros((2, 2)), 0.0, 0.0)
     data, offsets = W.column(pa.array(texts, pa.large_string()))
     found = [(i, line_features(data, offsets[i : j + 1])) for i, j in W.slices(offsets)]
@@ -209,14 +212,18 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS) -> Model:
         m, expected = forward_backward(x @ theta[:k], theta[k:].reshape(2, 2), text, pairs=True)
         return np.concatenate([x.T @ (y - m), (seen - expected).ravel()]) / len(y) - 1e-4 * theta
 
-    theta = _adam(np.zeros(k + 4), grad, steps, 0.1)
     # the transitions' weight is held to evidence between lines, not to that of one label for all lines of a text
-    trans = np.clip(theta[k:].reshape(2, 2), -1.0, 1.0)
+    theta = _adam(np.zeros(k + 4), grad, steps, 0.1, lambda x: np.append(x[:k], np.clip(x[k:], -TRANSITION, TRANSITION)))
+    trans = theta[k:].reshape(2, 2)
     raw = Model(theta[:k], trans, 1.0, 0.0)
     q, target = raw.qualities(pa.array(texts, pa.large_string())), np.asarray(labels, dtype=float)
 
+    share = target.mean()
+    good = share if good is None else good
+    weight = np.where(target == 1, good / share, (1 - good) / (1 - share))
+
     def slope(ab: np.ndarray) -> np.ndarray:
-        e = target - 1 / (1 + np.exp(-np.clip(ab[0] * q + ab[1], -50, 50)))
+        e = weight * (target - 1 / (1 + np.exp(-np.clip(ab[0] * q + ab[1], -50, 50))))
         return np.array([(e * q).mean(), e.mean()]) - 1e-4 * ab
 
     a, b = _adam(np.zeros(2), slope, 1500, 0.05)
@@ -229,19 +236,22 @@ def fold(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> Model:
     """Fit on the bounded sample that the module describes."""
-    y = own_columns(labels, "doc_id", "quality").where("quality in (0, 1) and doc_id is not null").withColumnRenamed("doc_id", "id").where(fold(F.col("id")) != 0)
-    # the smaller of the two labels gets up to half of the sample
+    y = own_columns(labels, "doc_id", "quality").where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("quality"))
+    y = y.where(fold(F.col("id")) != 0).distinct()
+    shares = {r["quality"]: r["count"] for r in y.groupBy("quality").count().collect()}
     order = [F.xxhash64("id"), F.col("id")]
     picked = y.where("quality = 0").orderBy(*order).limit(train_docs // 2).unionByName(y.where("quality = 1").orderBy(*order).limit(train_docs // 2))
-    d = own_columns(docs, "doc_id", "text")
-    rows = d.join(F.broadcast(picked), d["doc_id"] == picked["id"]).where("text is not null").select("id", "quality", F.octet_length("text").alias("size"), "text")
-    from pyspark.sql import Window
-
-    by_label = Window.partitionBy("quality").orderBy(F.greatest("size", F.lit(train_bytes // 64)), F.xxhash64("id"), "id")
-    rows = rows.withColumn("before", F.sum("size").over(by_label.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("before") <= train_bytes // 2)
-    got = rows.select("text", "quality").toArrow()
-    model = fit(got["text"].to_pylist(), [int(q) for q in got["quality"].to_pylist()])
-    return model
+    d = own_columns(docs, "doc_id", "text").where("text is not null")
+    rows = d.join(F.broadcast(picked), d["doc_id"] == picked["id"]).withColumn("h", F.xxhash64("text"))
+    # an id may stand on any number of rows: equal texts count once, and of others as many as there may be documents
+    sizes = rows.groupBy("id", "quality", "h").agg(F.max(F.octet_length("text")).alias("size"))
+    first = [F.greatest("size", F.lit(train_bytes // 64)), F.xxhash64("id"), F.col("id"), F.col("h")]
+    sizes = sizes.where("quality = 0").orderBy(*first).limit(train_docs // 2).unionByName(sizes.where("quality = 1").orderBy(*first).limit(train_docs // 2))
+    so_far = Window.partitionBy("quality").orderBy(*first).rowsBetween(Window.unboundedPreceding, 0)
+    chosen = sizes.withColumn("before", F.sum("size").over(so_far)).where(F.col("before") <= train_bytes // 2).select("id", "quality", "h", "size")
+    got = rows.join(F.broadcast(chosen), ["id", "quality", "h"]).groupBy("id", "quality", "h").agg(F.min("text").alias("text")).orderBy("quality", "h", "id").select("text", "quality").toArrow()
+    known = sum(shares.values())
+    return fit(got["text"].to_pylist(), got["quality"].to_pylist(), shares.get(1, 0) / known if known else None)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
