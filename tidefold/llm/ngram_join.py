@@ -1,8 +1,8 @@
 """N-gram Jaccard join: rare-first prefix filtering with length and positional filters and a bitmap signature bound.
 
 Two documents link when the Jaccard similarity of their sets of word shingles is at
-least ``percent`` in a hundred.  Every step is exact; the only estimate is the order
-of the shingles, and any order gives the same links.
+least ``percent`` in a hundred.  Shingles are 64-bit hashes and equal sets are told by their size and 128 bits of digest;
+but for that every step is exact.  The only estimate is the order of the shingles, and any order gives the same links.
 
 1. One pass over the texts gives the set's size and a digest of each document, and
    adds up a count sketch of all shingles (``2**sketch_bits`` counters, a fixed size).
@@ -14,7 +14,8 @@ of the shingles, and any order gives the same links.
    near copies, is compared with the others: a group of any size costs its size.
 3. Pairs that pass the length and positional filters are sieved by a bound from bitmaps of about a bit for
    each shingle of the whole sets, which stands in for a suffix filter, and verified once on the whole sets.  Connected components over the links follow.
-4. Entries of one bucket that are still in different components are all compared, if three
+4. Entries of one bucket that are still in different components are compared if their sizes lie in the same or neighbouring bands
+   (each as wide as the threshold lets two sizes differ, so that a bucket is split by length before it is paired) and three
    filters let them: the positional filter, tightened by the count of shared shingles so far;
    the count of prefix shingles that the pair shares; and the pivot bound.  If both x and y were compared
    with the bucket's first document and their shingles outside it counted, the overlap of x and y is
@@ -33,6 +34,7 @@ agree; if not, the vertex has the links of all of them.  Further columns are ign
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidefold.llm import _words as W
-from tidefold.llm._bits import among, bitmap
+from tidefold.llm._bits import among, bitmap, bits_for
 from tidefold.llm._shared import Tables, components, own_columns
 
 WIDTH, PERCENT, SKETCH_BITS = 5, 80, 18
@@ -54,6 +56,11 @@ def digest(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _second(s: np.ndarray) -> int:
+    """A digest that has nothing in common with the first."""
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8, person=b"second").digest(), "little", signed=True)
+
+
 def signature(s: np.ndarray) -> np.ndarray:
     """A bitmap of the set's hashes, of a power of two of bits: as many as shingles, up to twice as many, at least 64."""
     m = max(64, 1 << (len(s) - 1).bit_length())
@@ -71,23 +78,24 @@ def at_most(x: np.ndarray, y: np.ndarray, n: int, m: int) -> int:
 
 
 def _sizes(width: int, bits: int):
-    """Kind 0: (doc_id, n, node, signature) of each row; kind 1: (bucket, count) of the task's sketch."""
-    schema = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sig", pa.binary())])
+    """Kind 0: (doc_id, n, both digests, signature) of each row; kind 1: (bucket, count) of the task's sketch."""
+    schema = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("node2", pa.int64()), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, dtype=np.int64)
         for batch in batches:
-            n, node, sig = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [b""] * batch.num_rows
+            n, node, node2 = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
+            sig = [b""] * batch.num_rows
             for i, h in W.by_text(batch.column(1)):
                 s = W.shingle_set(h, width)
                 if len(s):
-                    n[i], node[i], sig[i] = len(s), digest(s), signature(s).tobytes()
+                    n[i], node[i], node2[i], sig[i] = len(s), digest(s), _second(s), signature(s).tobytes()
                     np.add.at(counts, (s >> np.uint64(64 - bits)).astype(np.int64), 1)
-            yield pa.record_batch([pa.array(np.zeros(len(n), np.int8)), batch.column(0), pa.array(n), pa.array(node), pa.array(sig, pa.binary())], schema=schema)
+            yield pa.record_batch([pa.array(np.zeros(len(n), np.int8)), batch.column(0), pa.array(n), pa.array(node), pa.array(node2), pa.array(sig, pa.binary())], schema=schema)
         at = np.flatnonzero(counts)
-        yield pa.record_batch([pa.array(np.ones(len(at), np.int8)), pa.array(at), pa.array(counts[at]), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary())], schema=schema)
+        yield pa.record_batch([pa.array(np.ones(len(at), np.int8)), pa.array(at), pa.array(counts[at]), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary())], schema=schema)
 
-    return run, "kind tinyint, doc_id long, n long, node long, sig binary"
+    return run, "kind tinyint, doc_id long, n long, node long, node2 long, sig binary"
 
 
 def _prefixes(width: int, percent: int, bits: int, sketch):
@@ -95,6 +103,7 @@ def _prefixes(width: int, percent: int, bits: int, sketch):
     schema = pa.schema([("token", pa.int64()), ("place", pa.int64()), ("doc_id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a class that a task meets twice needs no second prefix; one that is left out here by the digest alone has the size too
         counts, seen, out, held = sketch.value, set(), [], 0
 
         def full() -> pa.RecordBatch:
@@ -104,7 +113,7 @@ def _prefixes(width: int, percent: int, bits: int, sketch):
             ids = batch.column(0)
             for i, h in W.by_text(batch.column(1)):
                 s = W.shingle_set(h, width)
-                if not len(s) or not ids[i].is_valid or (key := digest(s)) in seen:
+                if not len(s) or not ids[i].is_valid or (key := (len(s), digest(s), _second(s))) in seen:
                     continue
                 seen.add(key)
                 n = len(s)
@@ -233,8 +242,8 @@ def _sieved(pairs: DataFrame, sigs: DataFrame, tables: Tables, percent: int) ->
 
 def _verified(docs: DataFrame, pairs: DataFrame, tables: Tables, width: int, percent: int, outside: bool) -> DataFrame:
     """The distinct pairs (a, b) with their overlaps."""
-    # a bitmap of a fixed size keeps most other sets out of the shuffle; the joins below are exact
-    on = bitmap(pairs.select(F.explode(F.array(F.xxhash64("a"), F.xxhash64("b")))))
+    # a bitmap of bounded size keeps most other sets out of the shuffle; the joins below are exact
+    on = bitmap(pairs.select(F.explode(F.array(F.xxhash64("a"), F.xxhash64("b")))), bits_for(2 * pairs.count()))
     run, schema = _sets(width, docs.sparkSession.sparkContext.broadcast(on))
     sets = docs.select("doc_id", "text", F.xxhash64("doc_id")).mapInArrow(run, schema)
     left = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("t")), "b")
@@ -247,6 +256,11 @@ def _need(n, m, percent: int):
     return F.ceil(percent * (n + m) / F.lit(100 + percent))
 
 
+def _band(n, percent: int):
+    """Bands of sizes: two that may link are in the same one or in neighbours, with a hundredth to spare for rounding."""
+    return F.floor(F.log(n.cast("double")) / max(1e-3, 1.01 * math.log(100 / percent)))
+
+
 def similarity_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text, ...)``; see the module."""
     spark = docs.sparkSession
@@ -260,8 +274,8 @@ def similarity_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     counts[found["doc_id"].to_numpy()] = found["n"].to_numpy()
     some = sizes.where("n > 0")
     # classes of one are most; the others are written first, so that the join with a class of very many rows can be split
-    classes = tables.keep(some.groupBy("node", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("k")).where("k > 1").drop("k"))
-    vertices = tables.keep(some.drop("sig").join(classes, ["node", "n"], "left").select("doc_id", "n", F.coalesce("first", "doc_id").alias("rep")))
+    classes = tables.keep(some.groupBy("node", "node2", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("k")).where("k > 1").drop("k"))
+    vertices = tables.keep(some.drop("sig").join(classes, ["node", "node2", "n"], "left").select("doc_id", "n", F.coalesce("first", "doc_id").alias("rep")))
     sigs = some.join(vertices.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", "sig")
     of = vertices.where("doc_id is not null").select("doc_id", "rep").distinct()
 
@@ -300,11 +314,14 @@ def similarity_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     need = _need(F.col("n_x"), F.col("n_y"), percent)
     apart = F.coalesce((F.col("first_x") == F.col("first_y")) & (F.least("most_x", "most_y") < need), F.lit(False))
     may = ~apart & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & (F.least("before_x", "before_y") + 1 + F.least(F.expr("n_x - pos_x - 1"), F.expr("n_y - pos_y - 1")) >= need)
-    pairs = x.join(y, "token").where("rep_x < rep_y and comp_x <> comp_y").where(may)
+    # x is in the lower band, or in the same one the lower document
+    x, y = x.withColumn("band", _band(F.col("n_x"), percent)), y.withColumn("band_y", _band(F.col("n_y"), percent))
+    y = y.withColumn("band", F.explode(F.array("band_y", F.col("band_y") - 1)))
+    pairs = x.join(y, ["token", "band"]).where("(band < band_y or rep_x < rep_y) and comp_x <> comp_y").where(may)
     pairs = pairs.groupBy("rep_x", "rep_y", "doc_id_x", "doc_id_y").agg(F.count("*").alias("c"), F.max("pos_x").alias("p"), F.max("pos_y").alias("q"), F.first("n_x").alias("n"), F.first("n_y").alias("m"))
     pairs = pairs.where(F.col("c") + F.least(F.expr("n - p - 1"), F.expr("m - q - 1")) >= _need(F.col("n"), F.col("m"), percent))
     known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = tables.keep(pairs.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct().join(known, ["a", "b"], "left_anti"))
+    second = tables.keep(pairs.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct().join(known, ["a", "b"], "left_anti"))
     by_rep = label.select(F.col("rep").alias("id"), "comp").distinct()
     if second.isEmpty():
         last = by_rep
