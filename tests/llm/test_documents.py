@@ -188,7 +188,7 @@ def test_rules_on_no_rows(no_docs):
 # 4: line dedup
 
 
-def brute_lines(rows, sites=8):
+def brute_lines(rows, sites=8, most=100):
     trim = lambda x: x.strip(" \t\n\v\f\r")
     on = defaultdict(set)
     for _, t, s in rows:
@@ -199,7 +199,9 @@ def brute_lines(rows, sites=8):
     for d, t, _ in rows:
         lines = [] if t is None else t.split("\n")
         cut = [trim(x) for x in lines if trim(x) in common]
-        out[d, None if t is None else "\n".join(x for x in lines if trim(x) not in common), sum(trim(x) != "" for x in lines), len(cut), sum(map(len, cut))] += 1
+        whole = 100 * sum(map(len, cut)) > most * sum(len(trim(x)) for x in lines)
+        cut = [] if whole else cut
+        out[d, t if whole or t is None else "\n".join(x for x in lines if trim(x) not in common), sum(trim(x) != "" for x in lines), len(cut), sum(map(len, cut))] += 1
     return out
 
 
@@ -218,6 +220,7 @@ def test_line_dedup_is_exact(spark, odd_docs, no_docs):
     as_rows = lambda df: Counter((r["doc_id"], r["text"], r["n_lines"], r["n_removed"], r["removed_chars"]) for r in df.collect())
     got = as_rows(line_dedup.clean(docs))
     assert got == brute_lines(rows + odd)
+    assert as_rows(line_dedup.clean(docs, most_percent=80)) == brute_lines(rows + odd, most=80) != got
     assert any(t == "" and n for _, t, _, n, _ in got)  # short carriers are cleaned too
     assert sum(k[3] for k in got) > 0
     assert line_dedup.clean(no_docs).count() == 0

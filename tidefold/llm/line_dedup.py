@@ -4,7 +4,8 @@ For each distinct line, trimmed of ASCII white space, a HyperLogLog sketch count
 being one of them) it stands on; sketches of tasks are merged by aggregation.  Lines whose estimate is further than
 ``BAND`` (relative) from the threshold are decided by it; those near it get an exact distinct count.  A line
 on ``sites`` sites or more is boilerplate and is removed from every document, however much of it that is; ``removed_chars``
-says how much, for a caller who wants to leave out documents of which little is left.
+says how much.  A caller that goes on to remove near copies may leave those documents whole of whose characters in lines more than
+``most_percent`` in a hundred (100 by default, that is none) would go: a text copied to many sites is no boilerplate, and should be kept once.
 
 ``clean`` returns one row per row of the input: its ``doc_id``, ``text`` without the removed lines, ``n_lines``
 (lines with a character other than ASCII white space), ``n_removed`` and ``removed_chars`` (of the removed lines, trimmed).  Lines are separated by line feeds; blank lines
@@ -45,7 +46,7 @@ def line_hash(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("x"), F.xxhash64(F.lit(1), line, F.length(line)).alias("y"))
 
 
-def clean(docs: DataFrame, sites: int = SITES, carry: list[str] | None = None) -> DataFrame:
+def clean(docs: DataFrame, sites: int = SITES, most_percent: int = 100, carry: list[str] | None = None) -> DataFrame:
     """See the module.  ``carry``: further columns to return, in the struct ``row``."""
     tables = Tables(docs.sparkSession, "line-dedup")
     if carry:
@@ -62,23 +63,28 @@ def clean(docs: DataFrame, sites: int = SITES, carry: list[str] | None = None) -
     # by place and with a set operation, in time proportional to the lines; the lines are a variable, so that they are split once
     rest = lambda ls: F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.transform("gone", lambda x: x["at"]))
     left = F.transform(F.array(lines), lambda ls: F.array_join(F.transform(rest(ls), lambda i: F.get(ls, i)), "\n"))[0]
+    size = lambda xs, of: F.aggregate(xs, F.lit(0).cast("long"), lambda n, x: n + of(x))
+    if most_percent < 100:
+        whole = 100 * size(F.col("gone"), lambda x: x["size"]) > most_percent * size(lines, lambda x: F.length(trimmed(x)))
+        d = d.withColumn("gone", F.when(F.col("gone").isNotNull() & ~whole, F.col("gone")))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
     full = F.size(F.filter(lines, lambda x: trimmed(x) != ""))
-    size = F.aggregate("gone", F.lit(0).cast("long"), lambda n, x: n + x["size"])
-    return d.select("doc_id", text.alias("text"), F.when(F.col("text").isNotNull(), full).otherwise(0).alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_removed"), F.when(F.col("gone").isNull(), 0).otherwise(size).alias("removed_chars"), *["row"] * bool(carry))
+    return d.select("doc_id", text.alias("text"), F.when(F.col("text").isNotNull(), full).otherwise(0).alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_removed"), F.when(F.col("gone").isNull(), 0).otherwise(size(F.col("gone"), lambda x: x["size"])).alias("removed_chars"), *["row"] * bool(carry))
 
 
-def sql(docs: str = "documents") -> str:
+def sql(docs: str = "documents", most_percent: int = 100) -> str:
     """The same in DuckDB's SQL over the relation ``docs``, with exact counts throughout."""
     trim = "trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, coalesce(source, chr(0)) AS site, string_split(text, chr(10)) AS lines FROM {docs}),
 l AS (SELECT r, site, x, {trim} AS line, i FROM (SELECT r, site, unnest(lines) AS x, unnest(range(len(lines))) AS i FROM d)),
 common AS (SELECT line FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= {SITES}),
-a AS (
+b AS (
   SELECT r, string_agg(x, chr(10) ORDER BY i) FILTER (c.line IS NULL) AS rest, count(*) FILTER (l.line <> '') AS n, count(c.line) AS gone, sum(CASE WHEN c.line IS NULL THEN 0 ELSE length(l.line) END) AS chars
-  FROM l LEFT JOIN common c ON c.line = l.line GROUP BY r)
-SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(rest, '') END AS text, CAST(coalesce(n, 0) AS INTEGER) AS n_lines, CAST(coalesce(gone, 0) AS INTEGER) AS n_removed, CAST(coalesce(chars, 0) AS BIGINT) AS removed_chars
+    , sum(length(l.line)) AS all_chars
+  FROM l LEFT JOIN common c ON c.line = l.line GROUP BY r),
+a AS (SELECT r, rest, n, gone, chars, 100 * chars > {most_percent} * all_chars AS whole FROM b)
+SELECT doc_id, CASE WHEN whole THEN text WHEN text IS NOT NULL THEN coalesce(rest, '') END AS text, CAST(coalesce(n, 0) AS INTEGER) AS n_lines, CAST(CASE WHEN whole THEN 0 ELSE coalesce(gone, 0) END AS INTEGER) AS n_removed, CAST(CASE WHEN whole THEN 0 ELSE coalesce(chars, 0) END AS BIGINT) AS removed_chars
 FROM d LEFT JOIN a USING (r)
 """
 
