@@ -26,9 +26,13 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _texts(docs, only(judged, "kept").withColumnRenamed("text", "cleaned"))
 
 
+#: Documents that share more of their characters than this with many sites are near copies, which the next stage keeps once.
+COPY_PERCENT = 80
+
+
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand on many sites go; every document stays."""
-    return _texts(docs, line_dedup.clean(docs, carry=docs.columns).withColumnRenamed("text", "cleaned"))
+    """Lines that stand on many sites go, but not from near copies; every document stays."""
+    return _texts(docs, line_dedup.clean(docs, most_percent=COPY_PERCENT, carry=docs.columns).withColumnRenamed("text", "cleaned"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +64,7 @@ STAGES = [
 ORACLE_SQL = f"""
 WITH
 p1 AS MATERIALIZED (SELECT d.* REPLACE (q.text AS text, length(q.text) AS n_chars) FROM documents d JOIN ({quality_rules.sql(text=True)}) q ON q.doc_id = d.doc_id WHERE q.kept),
-p2 AS MATERIALIZED (SELECT d.* REPLACE (q.text AS text, length(q.text) AS n_chars) FROM p1 d JOIN ({line_dedup.sql("p1")}) q ON q.doc_id = d.doc_id),
+p2 AS MATERIALIZED (SELECT d.* REPLACE (q.text AS text, length(q.text) AS n_chars) FROM p1 d JOIN ({line_dedup.sql("p1", COPY_PERCENT)}) q ON q.doc_id = d.doc_id),
 p3 AS MATERIALIZED (SELECT d.* FROM p2 d JOIN ({ngram_join.sql("p2")}) q ON q.doc_id = d.doc_id WHERE q.doc_id = q.component_id),
 p4 AS MATERIALIZED (SELECT * FROM p3 WHERE doc_id NOT IN (SELECT doc_id FROM ({decontaminate.sql("p3")})))
 SELECT * FROM ({mixing.sql("p4")})
