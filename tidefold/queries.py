@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidefold.functions.lsn import lsn_from_text, lsn_to_text
 from tidefold.functions.shared import shared_dir
-from tidefold.operators import algebra, changes as ch, verify
+from tidefold.operators import algebra, changes as ch, extensions, verify
 from tidefold.plans.spec import ROWS, AggSpec, Config, ViewSpec
 from tidefold.sources import changelog, frames, pgoutput
 from tidefold.streaming.engine import Engine
@@ -259,27 +259,171 @@ def _live_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.select("status", F.col(ROWS).alias("live_rows"), F.col("revenue__sum").alias("state_sum"), F.col("revenue__nn").alias("state_nn"))
 
 
+def _maintained(v: ViewSpec) -> Callable[[SparkSession, str], DataFrame]:
+    """A view kept through the changes of ``history``."""
+    return lambda spark, sf_dir: maintained(v, *history(orders(spark, sf_dir)))
+
+
+def _follow(engine: Engine, root: str) -> None:
+    """Stream the log to its end."""
+    query = engine.run(f"{root}/log", f"{root}/stream")
+    try:
+        query.processAllAvailable()
+    finally:
+        engine.stop(query)
+    if engine.manifest().checkpoint_lsn != changelog.latest_lsn(f"{root}/log"):
+        raise RuntimeError("the stream did not reach the end of the log")
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot, and everything after it through the stream."""
+    snapshot, log = history(orders(spark, sf_dir))
+    engine, root = _engine(spark, view())
+    engine.setup({TABLE: snapshot}, 50)
+    changelog.append(_spread(_texts(log), rows=1000), f"{root}/log", txns_per_file=50)
+    _follow(engine, root)
+    return engine.view("orders_view")
+
+
+def _after_force(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set up again on a log that was streamed before: all of it counts again, once."""
+    o = orders(spark, sf_dir)
+    engine, root = _engine(spark, view())
+    changelog.append(_spread(_texts(change(o, 1, "I", new=_row())), rows=5000), f"{root}/log", txns_per_file=50)
+    for force in (False, True):
+        engine.setup({TABLE: o.limit(0)}, 0, force=force)
+        _follow(engine, root)
+    return engine.view("orders_view")
+
+
+def _truncated_by_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = orders(spark, sf_dir)
+    engine, _ = _engine(spark, view())
+    engine.setup({TABLE: o}, 50)
+    engine.apply(change(o.where("id % 5 = 1"), 100, "D", _row()).unionByName(_truncate(o, 200)).unionByName(change(o.where("id % 4 = 2"), 300, "I", new=_row())))
+    return engine.view("orders_view")
+
+
+def _empty_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions without rows, or with those of other tables, move the checkpoint and nothing else."""
+    o = orders(spark, sf_dir)
+    engine, _ = _engine(spark, view())
+    engine.setup({TABLE: o}, 50)
+    engine.apply(spark.createDataFrame([(90, 0, "C", None, None, None, None), (120, 0, "I", "public.other", None, {"x": "1"}, None)], ch.CHANGE_DDL))
+    at = engine.manifest().checkpoint_lsn
+    return engine.view("orders_view").agg(F.sum("order_count").cast("long").alias("n_orders")).withColumn("checkpoint_lsn", F.lit(at).cast("long"))
+
+
+def _one_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a log of two tables the reader gives out one; of the other, positions only."""
+    log = _texts(change(orders(spark, sf_dir), 100, "I", new=_row()))
+    root = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    changelog.append(_spread(log.unionByName(log.withColumn("table", F.lit("public.other")))), root, txns_per_file=100)
+    changelog.register(spark)
+    got = spark.read.format(changelog.FORMAT).option("path", root).option("tables", TABLE).load()
+    return got.where("op <> 'C'").groupBy("table", "op").agg(F.count("*").alias("n_changes"))
+
+
+def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    snapshot, log = history(orders(spark, sf_dir))
+    engine, _ = _engine(spark, view(name="by_status"), view(by=(), name="everything"), view(by=("priority",), name="by_priority"))
+    engine.setup({TABLE: snapshot}, 50)
+    engine.apply(log)
+    info = engine.status()
+    return spark.createDataFrame([(v, n, info["checkpoint_lsn"]) for v, n in info["views"].items()], "view string, n_rows long, checkpoint_lsn long")
+
+
+def _all_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments with every kind of frame: what a truncation ends, inserts, updates with an old row and an unsent value, deletes with an old row, and tables without views."""
+    columns = [("id", 20), ("status", 25), ("total", 1700), ("coupon", 25), ("priority", 25)]
+    for batch in batches:
+        rows = batch.to_pylist()
+        if not rows:
+            continue
+        plain = lambda r: [r[c] for c in COLUMNS]
+        doubled = lambda r: r | {"status": "X", "total": r["total"] and 2 * r["total"]} if r["id"] % 7 == 3 else r
+        out = [frames.type_info(99, "public", "mood"), frames.begin(1), frames.relation(7, "public", "orders", columns), frames.insert(7, [-1, "lost", "1", None, None]), frames.commit(1, 1)]
+        out += [frames.begin(2), frames.relation(8, "public", "other", [("x", 25)]), frames.insert(8, ["y"]), frames.truncate([7, 8, 9999]), frames.commit(2, 2), frames.begin(3), frames.commit(3, 3)]
+        for i in range(0, len(rows), 100):
+            part, lsn = rows[i : i + 100], rows[i]["id"] + 10
+            out += [frames.begin(lsn), frames.origin(lsn, "o"), *[frames.insert(7, plain(r)) for r in part]]
+            for r in part:
+                if r["id"] % 7 == 3:
+                    out.append(frames.update(7, [pgoutput.UNCHANGED if c == "coupon" else doubled(r)[c] for c in COLUMNS], plain(r)))
+                if r["id"] % 11 == 5:
+                    out.append(frames.delete(7, plain(doubled(r))))
+            out.append(frames.commit(lsn, lsn))
+        yield pa.record_batch([pa.array([rows[0]["id"]] * len(out), pa.int64()), pa.array(range(len(out)), pa.int64()), pa.array(out, pa.binary())], names=["segment", "n", "payload"])
+
+
+def _every_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = orders(spark, sf_dir)
+    log = pgoutput.decode_log(o.mapInArrow(_all_frames, "segment long, n long, payload binary"), {TABLE: COLUMNS})
+    return maintained(view(), o.limit(0), log, truncated=True)
+
+
+def _planted_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the verifier says of a view with a group too few, one too many and wrong cells; an average that is off by 1e-7 is right."""
+    v, truth = view(), verify.ground_truth(view(), orders(spark, sf_dir))
+    put = lambda c, when, value: F.when(when, value).otherwise(F.col(c)).alias(c)
+    target = truth.where("status is null or status <> 'P'").select(
+        "status", "order_count", put("with_coupon", F.col("status").isNull(), F.col("with_coupon") + 1), put("revenue", F.col("status") == "F", F.col("revenue") + F.lit("0.01").cast("decimal(18,2)")).cast("decimal(38,2)").alias("revenue"),
+        (F.col("avg_order_value").cast("double") + 1e-7).alias("avg_order_value"),
+    )
+    extra = target.where("status = 'F'").withColumn("status", F.lit("Q"))
+    return verify.differences(v, truth, target.unionByName(extra)).select("status", "problem", F.col("column").alias("column_name"))
+
+
+def _dead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups without rows, in sums from which they were not removed."""
+    v, o = view(), orders(spark, sf_dir)
+    gone = ch.signed_rows(change(o.where("status = 'P'"), 100, "D", _row()), o.schema, v.needed)
+    state = algebra.added(v, algebra.backfill(v, o).unionByName(algebra.fold(v, gone)))
+    return verify.dead_groups(state).select("status", F.col(ROWS).alias("live_rows"))
+
+
+def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A join of two changing tables, from what it was and the signed rows of both."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("cust"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").cast("decimal(18,2)").alias("total"))
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("cust"), F.col("c_mktsegment").alias("segment"))
+    sign = lambda rows, x: rows.withColumn(algebra.SIGN, F.lit(x))
+    left, right = o.where("id % 10 <> 1"), c.where("cust % 5 <> 0")
+    delta = extensions.joined_changes(left, sign(o.where("id % 10 = 1"), 1).unionByName(sign(left.where("id % 11 = 5"), -1)), right, sign(c.where("cust % 5 = 0"), 1), ["cust"])
+    v = ViewSpec("joined", "public", "joined", ("segment",), (AggSpec("count", None, "n_orders"), AggSpec("sum", "total", "revenue")))
+    return algebra.project(v, algebra.merge(v, algebra.backfill(v, left.join(right, "cust")), algebra.fold(v, delta)))
+
+
+def _extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lowest and highest total by status, through inserts, updates and deletes."""
+    snapshot, log = history(orders(spark, sf_dir))
+    signed = ch.signed_rows(log, snapshot.schema, ("status", "total"))
+    state = extensions.value_counts(snapshot.withColumn(algebra.SIGN, F.lit(1)), ["status"], "total")
+    return extensions.extremes(extensions.merge_counts(state, extensions.value_counts(signed, ["status"], "total")), ["status"], "total", "lowest", "highest")
+
+
 _BY_STATUS = view()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "a1_count_star_by_status": _fresh(view(COUNT)),
-    "a2_count_col_by_status": _fresh(view(COUPON)),
-    "a3_sum_by_status": _fresh(view(REVENUE)),
+    "a1_count_star_by_status": _maintained(view(COUNT)),
+    "a2_count_col_by_status": _maintained(view(COUPON)),
+    "a3_sum_by_status": _maintained(view(REVENUE)),
     "a3_sum_all_null_group": _all_null,
-    "a4_avg_by_status": _fresh(view(AVERAGE)),
+    "a4_avg_by_status": _maintained(view(AVERAGE)),
     "a5_live_rows": _live_rows,
-    "a6_multi_key": _fresh(view(by=("status", "priority"))),
+    "a6_multi_key": _maintained(view(by=("status", "priority"))),
     "a7_null_group_key": lambda spark, sf_dir: verify.ground_truth(_BY_STATUS, orders(spark, sf_dir)).where("status IS NULL"),
-    "a8_global": _fresh(view(by=())),
+    "a8_global": _maintained(view(by=())),
     "a8_global_empty": lambda spark, sf_dir: verify.ground_truth(view(by=()), orders(spark, sf_dir).where("id < 0")),
     "a12_multi_aggregate_view": flagship,
     "a13_float_sum_events": _float_sum,
     "a15_group_cancellation": _cancelled,
-    "c3_backfill_plus_stream": flagship,
+    "c3_backfill_plus_stream": _streamed,
     "d1_pgoutput_decode": _decoded,
+    "d7_frames_of_every_kind": _every_frame,
     "d16_positions": _positions,
     "p4_two_views_one_source": _two_views,
     "p5_unchanged_toast": _unchanged,
     "s1_stream_events": _stream_events,
+    "s9_table_filter": _one_table,
     "t2_redelivery_skip": _redelivered,
     "t3_insert_stream": _insert_only,
     "t4_delete": _delete,
@@ -288,20 +432,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "t6_truncate_then_insert": _truncate_insert(view()),
     "t6_truncate_global": _truncate_only,
     "t6_truncate_global_then_insert": _truncate_insert(view(by=())),
+    "t7_truncate_by_engine": _truncated_by_engine,
     "t9_many_small_batches": _small_batches,
+    "t10_restart_after_force": _after_force,
+    "t11_empty_transactions": _empty_transactions,
+    "u3_status": _status,
     "v3_verify_diff": _no_differences,
+    "v4_planted_differences": _planted_differences,
+    "v5_dead_groups": _dead,
+    "x1_joined_tables": _joined,
+    "x2_extremes": _extremes,
 }
 _SET = ", ".join(PARTS_SQL[a] for a in ALL)
 ORACLE_SQL: dict[str, str] = {
-    "a1_count_star_by_status": view_sql(view(COUNT)),
-    "a2_count_col_by_status": view_sql(view(COUPON)),
-    "a3_sum_by_status": view_sql(view(REVENUE)),
+    "a1_count_star_by_status": view_sql(view(COUNT), "f", FINAL_SQL),
+    "a2_count_col_by_status": view_sql(view(COUPON), "f", FINAL_SQL),
+    "a3_sum_by_status": view_sql(view(REVENUE), "f", FINAL_SQL),
     "a3_sum_all_null_group": f"WITH {ORDERS_SQL} SELECT id % 10 = 0 AS is_tenth, {_SET} FROM o GROUP BY 1",
-    "a4_avg_by_status": view_sql(view(AVERAGE)),
+    "a4_avg_by_status": view_sql(view(AVERAGE), "f", FINAL_SQL),
     "a5_live_rows": f"WITH {ORDERS_SQL}{FINAL_SQL} SELECT status, CAST(count(*) AS BIGINT) AS live_rows, CAST(coalesce(sum(total), 0) AS DECIMAL(38, 2)) AS state_sum, CAST(count(total) AS BIGINT) AS state_nn FROM f GROUP BY status",
-    "a6_multi_key": view_sql(view(by=("status", "priority"))),
+    "a6_multi_key": view_sql(view(by=("status", "priority")), "f", FINAL_SQL),
     "a7_null_group_key": view_sql(_BY_STATUS) + " HAVING status IS NULL",
-    "a8_global": view_sql(view(by=())),
+    "a8_global": view_sql(view(by=()), "f", FINAL_SQL),
     "a8_global_empty": view_sql(view(by=()), "o WHERE id < 0"),
     "a12_multi_aggregate_view": view_sql(_BY_STATUS, "f", FINAL_SQL),
     "a13_float_sum_events": "SELECT event_type, CAST(count(value) AS BIGINT) AS n_values, CAST(sum(CAST(CAST(value AS VARCHAR) AS DECIMAL(38, 18))) AS DECIMAL(38, 18)) AS total_value FROM events GROUP BY event_type",
@@ -321,5 +473,15 @@ ORACLE_SQL: dict[str, str] = {
     "t6_truncate_global": view_sql(view(by=()), "o WHERE id < 0"),
     "t6_truncate_global_then_insert": view_sql(view(by=()), "(SELECT * FROM o WHERE id % 4 = 2)"),
     "t9_many_small_batches": view_sql(_BY_STATUS, "f", FINAL_SQL),
+    "d7_frames_of_every_kind": view_sql(_BY_STATUS, "f", FINAL_SQL),
+    "s9_table_filter": "SELECT 'public.orders' AS \"table\", 'I' AS op, count(*) AS n_changes FROM orders",
+    "t7_truncate_by_engine": view_sql(_BY_STATUS, "(SELECT * FROM o WHERE id % 4 = 2)"),
+    "t10_restart_after_force": view_sql(_BY_STATUS),
+    "t11_empty_transactions": "SELECT count(*) AS n_orders, CAST(120 AS BIGINT) AS checkpoint_lsn FROM orders",
+    "u3_status": f"WITH {ORDERS_SQL}{FINAL_SQL} SELECT 'by_status' AS view, (SELECT count(*) FROM (SELECT DISTINCT status FROM f)) AS n_rows, CAST(300 AS BIGINT) AS checkpoint_lsn UNION ALL SELECT 'everything', 1, 300 UNION ALL SELECT 'by_priority', (SELECT count(*) FROM (SELECT DISTINCT priority FROM f)), 300",
+    "v4_planted_differences": f"WITH {ORDERS_SQL} SELECT DISTINCT status, CASE WHEN status = 'P' THEN 'missing group' ELSE 'cell' END AS problem, CASE WHEN status IS NULL THEN 'with_coupon' WHEN status = 'F' THEN 'revenue' END AS column_name FROM o WHERE status IS NULL OR status IN ('P', 'F') UNION ALL SELECT 'Q', 'extra group', NULL",
+    "v5_dead_groups": f"WITH {ORDERS_SQL} SELECT DISTINCT status, CAST(0 AS BIGINT) AS live_rows FROM o WHERE status = 'P'",
+    "x1_joined_tables": "SELECT c_mktsegment AS segment, count(*) AS n_orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DECIMAL(38, 2)) AS revenue FROM orders JOIN customer ON o_custkey = c_custkey WHERE NOT (o_orderkey % 11 = 5 AND o_orderkey % 10 <> 1) GROUP BY 1",
+    "x2_extremes": f"WITH {ORDERS_SQL}{FINAL_SQL} SELECT status, CAST(min(total) AS DECIMAL(18, 2)) AS lowest, CAST(max(total) AS DECIMAL(18, 2)) AS highest FROM f WHERE total IS NOT NULL GROUP BY status",
     "v3_verify_diff": "SELECT CAST(0 AS BIGINT) AS n_differences",
 }
