@@ -16,7 +16,7 @@ from tidefold.functions.lsn import lsn_from_text, lsn_to_text
 from tidefold.functions.shared import shared_dir
 from tidefold.operators import algebra, changes as ch, extensions, verify
 from tidefold.plans.spec import ROWS, AggSpec, Config, ViewSpec
-from tidefold.sources import changelog, frames, pgoutput
+from tidefold.sources import changelog, pgoutput, wire
 from tidefold.streaming.engine import Engine
 
 COUNT, COUPON, REVENUE, AVERAGE = AggSpec("count", None, "order_count"), AggSpec("count", "coupon", "with_coupon"), AggSpec("sum", "total", "revenue"), AggSpec("avg", "total", "avg_order_value")
@@ -182,6 +182,18 @@ def _two_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(engine.view("by_priority").select(F.lit("priority").alias("kind"), F.col("priority").alias("key"), *[x.alias for x in ALL]))
 
 
+def _relation(rel_id: int, name: str, columns: list[tuple[str, int]]) -> bytes:
+    return wire.encode(wire.Relation(rel_id, "public", name, "f", tuple(wire.Column(c, oid, -1, False) for c, oid in columns)))
+
+
+def _begin(lsn: int) -> bytes:
+    return wire.encode(wire.Begin(lsn, wire.EPOCH, 1))
+
+
+def _commit(lsn: int) -> bytes:
+    return wire.encode(wire.Commit(0, lsn, lsn, wire.EPOCH))
+
+
 def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments of replication frames that insert the rows, a hundred to a transaction."""
     first = True
@@ -190,10 +202,10 @@ def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(rows), 100):
             part = rows[i : i + 100]
             lsn = part[0]["id"] + 1
-            out += [(lsn, frames.begin(lsn)), (lsn, frames.relation(7, "public", "orders", [("id", 20), ("status", 25), ("total", 1700), ("coupon", 25), ("priority", 25)]))] if first or i == 0 else [(lsn, frames.begin(lsn))]
+            out += [(lsn, _begin(lsn)), (lsn, _relation(7, "orders", [("id", 20), ("status", 25), ("total", 1700), ("coupon", 25), ("priority", 25)]))] if first or i == 0 else [(lsn, _begin(lsn))]
             first = False
-            out += [(lsn, frames.insert(7, [r[c] for c in COLUMNS])) for r in part]
-            out += [(lsn, frames.origin(1, "o")), (lsn, frames.commit(lsn, lsn))]
+            out += [(lsn, wire.encode(wire.Insert(7, tuple(r[c] for c in COLUMNS)))) for r in part]
+            out += [(lsn, wire.encode(wire.Origin(1, "o"))), (lsn, _commit(lsn))]
         segment = rows[0]["id"] if rows else 0
         yield pa.record_batch([pa.array([segment] * len(out), pa.int64()), pa.array(range(len(out)), pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["segment", "n", "payload"])
 
@@ -340,19 +352,19 @@ def _all_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = batch.to_pylist()
         if not rows:
             continue
-        plain = lambda r: [r[c] for c in COLUMNS]
+        plain = lambda r: tuple(r[c] for c in COLUMNS)
         doubled = lambda r: r | {"status": "X", "total": r["total"] and 2 * r["total"]} if r["id"] % 7 == 3 else r
-        out = [frames.type_info(99, "public", "mood"), frames.begin(1), frames.relation(7, "public", "orders", columns), frames.insert(7, [-1, "lost", "1", None, None]), frames.commit(1, 1)]
-        out += [frames.begin(2), frames.relation(8, "public", "other", [("x", 25)]), frames.insert(8, ["y"]), frames.truncate([7, 8, 9999]), frames.commit(2, 2), frames.begin(3), frames.commit(3, 3)]
+        out = [wire.encode(wire.Type(99, "public", "mood")), _begin(1), _relation(7, "orders", columns), wire.encode(wire.Insert(7, (-1, "lost", "1", None, None))), _commit(1)]
+        out += [_begin(2), _relation(8, "other", [("x", 25)]), wire.encode(wire.Insert(8, ("y",))), wire.encode(wire.Truncate(0, (7, 8, 9999))), _commit(2), _begin(3), _commit(3)]
         for i in range(0, len(rows), 100):
             part, lsn = rows[i : i + 100], rows[i]["id"] + 10
-            out += [frames.begin(lsn), frames.origin(lsn, "o"), *[frames.insert(7, plain(r)) for r in part]]
+            out += [_begin(lsn), wire.encode(wire.Origin(lsn, "o")), *[wire.encode(wire.Insert(7, plain(r))) for r in part]]
             for r in part:
                 if r["id"] % 7 == 3:
-                    out.append(frames.update(7, [pgoutput.UNCHANGED if c == "coupon" else doubled(r)[c] for c in COLUMNS], plain(r)))
+                    out.append(wire.encode(wire.Update(7, plain(r), None, tuple(wire.UNCHANGED if c == "coupon" else doubled(r)[c] for c in COLUMNS))))
                 if r["id"] % 11 == 5:
-                    out.append(frames.delete(7, plain(doubled(r))))
-            out.append(frames.commit(lsn, lsn))
+                    out.append(wire.encode(wire.Delete(7, plain(doubled(r)), None)))
+            out.append(_commit(lsn))
         yield pa.record_batch([pa.array([rows[0]["id"]] * len(out), pa.int64()), pa.array(range(len(out)), pa.int64()), pa.array(out, pa.binary())], names=["segment", "n", "payload"])
 
 

@@ -1,216 +1,20 @@
 """PostgreSQL's logical replication messages (pgoutput, protocol version 1) to change rows.
 
-``decode`` reads one message; ``Assembler`` turns an ordered stream of them into the change rows of whole
+``Assembler`` turns an ordered stream of them into the change rows of whole
 transactions; ``decode_log`` does that for stored segments of a stream, each of which begins outside a transaction
 and announces the relations that it uses.
 """
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
-from datetime import UTC, datetime, timedelta
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidefold.errors import ProtocolError, SchemaDriftError
 from tidefold.operators.changes import CHANGE_DDL
-
-EPOCH = datetime(2000, 1, 1, tzinfo=UTC)
-
-
-#: Stands for a large value that the server did not send again; a built-in, so that it is the same object in every process.
-UNCHANGED = ...
-Values = tuple[object, ...]
-
-
-@dataclass(frozen=True)
-class Begin:
-    final_lsn: int
-    at: datetime
-    xid: int
-
-
-@dataclass(frozen=True)
-class Commit:
-    flags: int
-    commit_lsn: int
-    end_lsn: int
-    at: datetime
-
-
-@dataclass(frozen=True)
-class Column:
-    name: str
-    oid: int
-    modifier: int
-    key: bool
-
-
-@dataclass(frozen=True)
-class Relation:
-    rel_id: int
-    schema: str
-    name: str
-    identity: str
-    columns: tuple[Column, ...]
-
-
-@dataclass(frozen=True)
-class Insert:
-    rel_id: int
-    new: Values
-
-
-@dataclass(frozen=True)
-class Update:
-    rel_id: int
-    old: Values | None
-    key: Values | None
-    new: Values
-
-
-@dataclass(frozen=True)
-class Delete:
-    rel_id: int
-    old: Values | None
-    key: Values | None
-
-
-@dataclass(frozen=True)
-class Truncate:
-    options: int
-    rel_ids: tuple[int, ...]
-
-
-@dataclass(frozen=True)
-class Origin:
-    lsn: int
-    name: str
-
-
-@dataclass(frozen=True)
-class Type:
-    oid: int
-    schema: str
-    name: str
-
-
-class _Cursor:
-    """Reads a message's fields in order and says where one is cut short."""
-
-    def __init__(self, data: bytes, what: str) -> None:
-        self.data, self.what, self.at = data, what, 1
-
-    def take(self, n: int) -> bytes:
-        part = self.data[self.at : self.at + n]
-        if n < 0 or len(part) < n:
-            raise ProtocolError(f"{self.what}: {n} bytes needed at offset {self.at}, {len(part)} left")
-        self.at += n
-        return part
-
-    def number(self, code: str) -> int:
-        return struct.unpack(f">{code}", self.take(struct.calcsize(f">{code}")))[0]
-
-    def text(self, n: int) -> str:
-        start, part = self.at, self.take(n)
-        try:
-            return part.decode()
-        except UnicodeDecodeError as e:
-            raise ProtocolError(f"{self.what}: text at offset {start} is not UTF-8") from e
-
-    def string(self) -> str:
-        end = self.data.find(b"\0", self.at)
-        if end < 0:
-            raise ProtocolError(f"{self.what}: unterminated string at offset {self.at}")
-        out = self.text(end - self.at)
-        self.at += 1
-        return out
-
-    def time(self) -> datetime:
-        return EPOCH + timedelta(microseconds=self.number("q"))
-
-    def tag(self, allowed: str) -> str:
-        at, tag = self.at, chr(self.take(1)[0])
-        if tag not in allowed:
-            raise ProtocolError(f"{self.what}: {tag!r} at offset {at} where one of {allowed} must be")
-        return tag
-
-    def values(self) -> Values:
-        out: list[object] = []
-        for _ in range(self.number("H")):
-            at, kind = self.at, self.take(1)
-            if kind == b"t":
-                out.append(self.text(self.number("i")))
-            elif kind in b"nu":
-                out.append(None if kind == b"n" else UNCHANGED)
-            else:
-                raise ProtocolError(f"{self.what}: {'binary values need protocol 2' if kind == b'b' else f'unknown kind of value {kind!r}'}, at offset {at}")
-        return tuple(out)
-
-    def old_values(self, tag: str) -> dict[str, Values]:
-        return {"old" if tag == "O" else "key": self.values()}
-
-
-def _relation(c: _Cursor) -> Relation:
-    rel_id, schema, name, identity = c.number("I"), c.string(), c.string(), c.tag("dnfi")
-    columns = []
-    for _ in range(c.number("H")):
-        flags = c.number("B")
-        columns.append(Column(c.string(), c.number("I"), c.number("i"), bool(flags & 1)))
-    return Relation(rel_id, schema, name, identity, tuple(columns))
-
-
-def _insert(c: _Cursor) -> Insert:
-    rel_id = c.number("I")
-    c.tag("N")
-    return Insert(rel_id, c.values())
-
-
-def _update(c: _Cursor) -> Update:
-    rel_id, tag = c.number("I"), c.tag("KON")
-    before: dict[str, Values | None] = {"old": None, "key": None}
-    if tag != "N":
-        before |= c.old_values(tag)
-        c.tag("N")
-    return Update(rel_id, before["old"], before["key"], c.values())
-
-
-def _delete(c: _Cursor) -> Delete:
-    rel_id = c.number("I")
-    before: dict[str, Values | None] = {"old": None, "key": None} | c.old_values(c.tag("KO"))
-    return Delete(rel_id, before["old"], before["key"])
-
-
-def _truncate(c: _Cursor) -> Truncate:
-    n, options = c.number("I"), c.number("B")
-    return Truncate(options, tuple(c.number("I") for _ in range(n)))
-
-
-_READERS = {
-    "B": ("Begin", lambda c: Begin(c.number("Q"), c.time(), c.number("I"))),
-    "C": ("Commit", lambda c: Commit(c.number("B"), c.number("Q"), c.number("Q"), c.time())),
-    "R": ("Relation", _relation),
-    "I": ("Insert", _insert),
-    "U": ("Update", _update),
-    "D": ("Delete", _delete),
-    "T": ("Truncate", _truncate),
-    "O": ("Origin", lambda c: Origin(c.number("Q"), c.string())),
-    "Y": ("Type", lambda c: Type(c.number("I"), c.string(), c.string())),
-}
-
-
-def decode(data: bytes) -> object:
-    """The message in one frame."""
-    if not data:
-        raise ProtocolError("an empty message")
-    kind = chr(data[0])
-    if kind not in _READERS:
-        raise ProtocolError(f"unknown message {data[0]:#04x} at offset 0")
-    what, read = _READERS[kind]
-    return read(_Cursor(data, what))
+from tidefold.sources.wire import UNCHANGED, Begin, Commit, Delete, Insert, Origin, Relation, Truncate, Type, Update, Values, decode
 
 
 class Assembler:
