@@ -138,3 +138,25 @@ def test_segments_are_decoded_apart(spark):
         rows += [(s, n, bytearray(x)) for n, x in enumerate(stream)]
     got = p.decode_log(spark.createDataFrame(rows, "segment long, n long, payload binary")).collect()
     assert sorted((r["end_lsn"], r["new"]["status"]) for r in got) == [(s + 1, f"s{s}") for s in range(5)]
+
+
+def test_live_stream_wakes_and_tells(monkeypatch):
+    """Against a cursor that plays a server: wakes come while frames trickle in, and what is told is sent at once."""
+    import types
+
+    from tidefold.sources import replication
+
+    told, sent = [], iter(range(1, 200))
+    cursor = types.SimpleNamespace(read_message=lambda: types.SimpleNamespace(wal_end=next(sent), payload=b"x"), send_feedback=lambda **k: told.append(k))
+    stream = replication.LiveStream.__new__(replication.LiveStream)
+    stream.cursor, stream.flushed, stream.told, stream.stopped = cursor, 0, 0.0, False
+    clock = iter(x / 10 for x in range(10_000))
+    monkeypatch.setattr(replication.time, "monotonic", lambda: next(clock))
+    got = []
+    for x in stream.frames(1.0):
+        got.append(x)
+        if len(got) == 40:
+            stream.stop()
+    assert got.count(None) >= 3 and [x[0] for x in got if x] == list(range(1, 41 - got.count(None)))
+    stream.acknowledge(7)
+    assert told[-1] == {"write_lsn": 7, "flush_lsn": 7, "apply_lsn": 7, "force": True}

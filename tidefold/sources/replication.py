@@ -32,17 +32,26 @@ class LiveStream:
         self.connection = pg.connect(dsn, connection_factory=pg.extras.LogicalReplicationConnection)
         self.cursor = self.connection.cursor()
         self.cursor.start_replication(slot_name=slot, decode=False, options={"proto_version": "1", "publication_names": publication})
-        self.flushed, self.told = 0, time.monotonic()
+        self.flushed, self.told, self.stopped = 0, time.monotonic(), False
 
     def frames(self, wake_seconds: float = 1.0) -> Iterator[tuple[int, bytes] | None]:
-        """(position, frame) as they come; None after each ``wake_seconds`` without one, so that the caller may flush."""
-        while True:
+        """(position, frame) as they come, until ``stop``; None every ``wake_seconds``, whether frames come or not, so that the caller may flush in time."""
+        due = time.monotonic() + wake_seconds
+        while not self.stopped:
             self._keep_alive()
             message = self.cursor.read_message()
             if message is not None:
                 yield message.wal_end, bytes(message.payload)
-            elif not select.select([self.cursor], [], [], wake_seconds)[0]:
+            left = due - time.monotonic()
+            if left <= 0:
+                due = time.monotonic() + wake_seconds
                 yield None
+            elif message is None:
+                select.select([self.cursor], [], [], left)
+
+    def stop(self) -> None:
+        """End ``frames`` at its next wake."""
+        self.stopped = True
 
     def acknowledge(self, lsn: int) -> None:
         """Tell the server that everything up to a position is committed here."""
@@ -50,7 +59,8 @@ class LiveStream:
         self._tell()
 
     def _tell(self) -> None:
-        self.cursor.send_feedback(write_lsn=self.flushed, flush_lsn=self.flushed, apply_lsn=self.flushed)
+        # without force the driver may hold the message back until its own interval is over
+        self.cursor.send_feedback(write_lsn=self.flushed, flush_lsn=self.flushed, apply_lsn=self.flushed, force=True)
         self.told = time.monotonic()
 
     def _keep_alive(self) -> None:
