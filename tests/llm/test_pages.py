@@ -1,8 +1,11 @@
 """The operators on pages, and the pipeline."""
 
 import hashlib
+import random
+import re
 from collections import Counter
 
+import duckdb
 import pytest
 from pyarrow import fs
 
@@ -43,7 +46,7 @@ def test_aliases(spark):
         (1, "http://a.net/1", link("http://b.com/de/x")),  # blocked through its canonical address
         (2, "http://a.net/2", '<meta http-equiv="refresh" content="0; url=http://a.net/1">'),  # and through a redirect to it
         (3, "http://c.net/1", link("http://b.com/de/y")),
-        (4, "http://c.net/1?again", link("http://d.org/z")),  # an allow in the component goes before the block
+        (4, "http://c.net/1#again", link("http://d.org/z")),  # an allow in the component goes before the block
         (5, "http://b.com/de/y", None),  # a rule of its own stays
         (6, "http://e.net/", "<p>canonical</p>"),
         (7, None, link("http://b.com/de/x")),
@@ -71,6 +74,81 @@ def test_relative_targets_and_several_rel_values(spark):
     assert got == {k: "allow" if k in (7, 8, 9) else "block" for k in range(1, 11)}
 
 
+@pytest.mark.parametrize(
+    "url,html,verdict",
+    [
+        ("http://a.net/i?id=1", link("http://b.com/de/q"), "block"),
+        ("http://a.net/i?id=2", "<p>canonical</p>", "allow"),  # another query is another page
+        ("http://a.net/i?id=1#part", None, "block"),
+        ("http://a.net/j", link("/i?a=1&amp;id=1") + link("/i?id=1"), "block"),
+        ("http://a.net/k", link("/k2?a=1&amp;b=2"), "block"),
+        ("http://a.net/k2?a=1&b=2", link("//b.com/de/q"), "block"),
+        ("http://a.net/l", f"<!-- {link('http://b.com/de/q')} -->", "allow"),
+        ("http://a.net/m", f"<script>x = '{link('http://b.com/de/q')}'</script>", "allow"),
+        ("http://a.net/n", f"<!-- never closed {link('http://b.com/de/q')}", "allow"),
+        ("http://a.net/o", '<link data-rel="canonical" href="http://b.com/de/q">', "allow"),
+        ("http://a.net/p", '<link rel=canonical data-href="http://b.com/de/q">', "allow"),
+        ("http://a.net/q", '<LINK REL=CANONICAL HREF=http://b.com/de/q>', "block"),
+        ("http://a.net/r", "<meta http-equiv='Refresh' content='5;URL=\"http://b.com/de/q\"'>", "block"),
+        ("http://a.net/s", '<meta http-equiv="refresh" content="300">', "allow"),
+        ("http://b.com/t?q", link("#x"), "allow"),
+    ],
+)
+def test_links_and_queries(spark, url, html, verdict):
+    rows = [(1, url, html), (2, "http://a.net/i?id=1", link("http://b.com/de/q")), (3, "http://a.net/k2?a=1&b=2", link("//b.com/de/q"))]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: verdict, 2: "block", 3: "block"}
+
+
+def test_aliases_are_those_of_a_union_find_and_of_the_sql(spark):
+    rng, rows = random.Random(5), []
+    hosts = [f"{a}.{b}" for a in "abcdefgh" for b in ("net", "com", "org")] + ["x.example.org"]
+    some = [f"http://{h}/{d}/{k}{q}" for h in hosts for d in ("p", "de", "fr", "es") for k in range(3) for q in ("", "?a=1", "?a=2")]
+    hub = "http://hub.net/all?x=1"
+    for k in range(1500):
+        url, to = rng.choice(some), hub if rng.random() < 0.02 else rng.choice(some)
+        kind = rng.random()
+        rows.append((k, url, link(to) if kind < 0.15 else f'<meta http-equiv=refresh content="0; url={to}">' if kind < 0.2 else None))
+    rows += rows[:40] + [(9000, hub, None), (9001, "http://z.net/" + "y" * 100_000, link(hub)), (9002, None, link(hub)), (None, hub, "x" * 3_000_000 + link("http://b.com/de/0"))]
+    # chains of redirects, longer than a few rounds of the contraction
+    rows += [(10_000 + k, f"http://chain.net/{k}", link(f"http://chain.net/{k + 1}")) for k in range(200)] + [(10_200, "http://chain.net/200", link("http://b.com/de/0?a=1"))]
+
+    def address(url):
+        h, _, rest = url.split("://", 1)[1].partition("/")
+        return h.lower(), "/" + rest.split("?")[0], "?" + rest.split("?", 1)[1] if "?" in rest else ""
+
+    def own(a):
+        fits = [(len(h + p), v) for v, h, p in url_filter.RULES if (a[0] == h or a[0].endswith("." + h)) and a[1].startswith(p)]
+        return max(fits)[1] if fits else None
+
+    up = {}
+
+    def root(a):
+        while up.setdefault(a, a) != a:
+            a = up[a]
+        return a
+
+    for _, url, html in rows:
+        to = re.search("(?:href=\"|url=)([^\"]+)", html or "")
+        if url and to:
+            up[root(address(url))] = root(address(to[1]))
+    theirs = {}
+    for a in list(up):
+        theirs.setdefault(root(a), set()).add(own(a))
+    expected = Counter()
+    for page, url, _ in rows:
+        a = address(url) if url else None
+        of = theirs.get(root(a), set()) if a in up else set()
+        expected[page, "allow" if not url else own(a) or ("allow" if "allow" in of else "block" if "block" in of else "allow")] += 1
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = url_filter.judge(pages)
+    assert Counter((r["page_id"], r["verdict"]) for r in got.collect()) == expected
+    assert {"allow", "block"} == {v for (p, v) in expected}
+    con = duckdb.connect()
+    con.register("pages", pages.toArrow())
+    assert Counter(con.execute(f"SELECT page_id, verdict FROM ({url_filter.ORACLE})").fetchall()) == expected
+
+
 # 9: WARC
 
 
@@ -240,3 +318,45 @@ def test_pipeline_finds_what_is_planted(spark, sf):
     assert {r["doc_id"] for r in docs.collect()} == {i for i, *_ in clean}
     kept = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert all(kept[i] == t for i, t, *_ in clean)
+
+
+def test_pipeline_keeps_one_row_of_a_group_with_repeated_and_null_ids(spark, no_docs, sf):
+    import corpus_pipeline
+
+    near = corpus_pipeline.STAGES[2][1]
+    a, b, c, d = (text(i, 60) for i in (1, 2, 3, 4))
+    rows = [
+        (7, a), (7, a), (5, a), (None, a[:-9] + "other."),  # an id names the group, the least one
+        (8, b), (8, b), (8, b[:-9] + "other."),  # an id that is repeated, with two texts
+        (None, c), (None, c), (None, c[:-9] + "other."),  # no row of the group has an id
+        (9, d), (None, ""), (None, None), (None, " "), (9, None), (10, ""), (10, ""),
+    ]
+    docs = with_clashes(spark.createDataFrame([(*r, "en", f"s{k}", 1) for k, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")).repartition(3)
+    out = near(spark, docs, sf)
+    assert out.columns == docs.columns and out.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert sum(t == a for _, t in got) == 1 and (5, a) in got and not any(i == 7 for i, _ in got)
+    assert sum(i == 8 for i, _ in got) == 1 and sum(i == 9 for i, _ in got) == 2
+    assert sum(i is None and bool((t or "").strip()) for i, t in got) == 1
+    assert Counter(x for x in got if not (x[1] or "").strip()) == Counter(x for x in rows if not (x[1] or "").strip())
+    assert near(spark, no_docs, sf).count() == 0
+
+
+def test_missing_columns_raise(spark):
+    with pytest.raises(ValueError, match="no column url, html"):
+        url_filter.judge(spark.createDataFrame([(1,)], "page_id long"))
+
+
+def test_damaged_payloads_raise():
+    import io
+    import zlib
+
+    def record(digest):
+        z, body = zlib.compressobj(wbits=31), b"HTTP/1.1 200 OK\r\n\r\npayload"
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nContent-Type: application/http\r\nWARC-Payload-Digest: sha1:{digest}\r\nContent-Length: {len(body)}\r\n\r\n"
+        return z.compress(head.encode() + body + b"\r\n\r\n") + z.flush()
+
+    good, bad = record(hashlib.sha1(b"payload").hexdigest()), record(hashlib.sha1(b"another").hexdigest())
+    assert [r[-1] for r in warc.stream_record(io.BytesIO(good), len(good))] == [b"payload"]
+    with pytest.raises(ValueError, match="digest"):
+        list(warc.stream_record(io.BytesIO(bad), len(bad)))
