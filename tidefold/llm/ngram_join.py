@@ -288,7 +288,7 @@ def similarity_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     named = live.where("with_doc is not null").select(F.col("with_doc").alias("a"), F.col("doc_id").alias("b")).distinct()
     named = named.join(of.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a").join(of.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b").where("ra <> rb")
     first = named.groupBy(F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y")).agg(F.min("ra").alias("a"))
-    first = tables.keep(first.select("a", (F.col("x") + F.col("y") - F.col("a")).alias("b")))
+    first = tables.keep(first.select("a", F.when(F.col("x") == F.col("a"), F.col("y")).otherwise(F.col("x")).alias("b")))
     met = _verified(docs, _sieved(first, sigs, tables, percent), tables, width, percent, outside=True)
     # an id with several texts is one vertex
     split = of.groupBy("doc_id").agg(F.min("rep").alias("b"), F.count("*").alias("k")).where("k > 1").drop("k")
