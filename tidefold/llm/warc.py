@@ -9,7 +9,7 @@ chunks of ``CHUNK`` bytes, each with the SHA-1 of the payload as far as it goes,
 writer or the reader beyond the row in which it came.
 
 An archive is part of the result only once its task has ended and its index rows are written; what a lost
-executor left behind is in no index.  Defined cases: null page_ids are never a group's response unless all are null, when
+executor left behind is in no index.  A response whose payload has not the digest of its header, and a record that is cut short, raise.  Defined cases: null page_ids are never a group's response unless all are null, when
 all are responses; repeated rows with the group's largest page_id are all responses; an empty table
 gives an empty index.  Further columns are ignored.
 """
@@ -158,6 +158,9 @@ def stream_record(stream, length: int) -> Iterator[tuple[dict[str, str], int, in
     if fields is None or left > 0:
         raise EOFError("a record is cut short")
     ready = ready or (fields, 0, 0, 0, sha.hexdigest(), b"")
+    stated = fields.get("warc-payload-digest")
+    if stated and fields.get("warc-type") == "response" and stated != f"sha1:{ready[4]}":
+        raise ValueError(f"the payload of {fields.get('warc-record-id')} has not the digest that its header states")
     yield (*ready[:5], True, ready[5])
 
 
@@ -174,6 +177,8 @@ def _read(root: str, with_data: bool):
         for batch in batches:
             for archive, offset, length in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 if archive != name:
+                    if stream:
+                        stream.close()
                     name, stream = archive, where.open_input_file(f"{path}/{archive}")
                 stream.seek(offset)
                 for f, chunk, start, size, digest, last, data in stream_record(stream, length):
@@ -183,6 +188,8 @@ def _read(root: str, with_data: bool):
                     if held > 4_000_000:
                         yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
                         out, held = [], 0
+        if stream:
+            stream.close()
         if out:
             yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
