@@ -62,9 +62,10 @@ def only(df: DataFrame, condition: Column | str) -> DataFrame:
 
 
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns; one that is absent is null.  Further columns, whatever their names, are left out."""
-    there = {f.name for f in df.schema}
-    return df.select(*[F.col(f"`{n}`") if n in there else F.lit(None).cast("string").alias(n) for n in names])
+    """The named columns, which the table must have.  Further columns, whatever their names, are left out."""
+    if missing := [n for n in names if n not in df.columns]:
+        raise ValueError(f"the table has no column {', '.join(missing)}")
+    return df.select(*[F.col(f"`{n}`") for n in names])
 
 
 def components(edges: DataFrame, tables: Tables) -> DataFrame:
