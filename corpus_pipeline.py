@@ -1,7 +1,7 @@
 """The corpus pipeline: stages over the table ``documents``, each written as Parquet and reread as the next one's input.
 
 Each stage takes (spark, docs, sf_dir).  All but the last return the columns of ``docs``; rows with null ids are cleaned and kept
-like others where a decision is about the text alone, and stay where it is about an id.
+like others by the first three stages, and stay where a decision is about an id.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidefold.llm import decontaminate, line_dedup, mixing, ngram_join, quality_rules
-from tidefold.llm._shared import Tables, only
+from tidefold.llm._shared import WORD, Tables, only
 
 
 def _texts(docs: DataFrame, cleaned: DataFrame) -> DataFrame:
@@ -36,9 +36,25 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one whose id names the group."""
-    gone = ngram_join.similarity_classes(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near copies stays: the one whose id names the group.
+
+    A row without an id is known by a hash of its text, and names a group only if no row of it has an id.  Of rows that repeat
+    the kept id one stays.  Texts without words are in no group and stay.
+    """
+    tables = Tables(spark, "near-duplicates")
+    number = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1))
+    known = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), number).alias("id"))
+    in_group = F.col("row.text").rlike(WORD)
+    grouped = known.where(in_group)
+    classes = ngram_join.similarity_classes(grouped.select(F.col("id").alias("doc_id"), "row.text"))
+    groups = tables.keep(classes.groupBy("doc_id").agg(F.min("component_id").alias("name"), F.count("*").alias("k")).where("k > 1 or doc_id <> name"))
+    kept = known.join(groups, (F.col("id") == F.col("doc_id")) & in_group, "left_anti").select("row.*")
+    again = groups.where("doc_id = name").select(F.col("doc_id").alias("repeated"))
+    if again.isEmpty():
+        return kept
+    # written first, so that the join with an id of very many rows can be split
+    rows = tables.keep(grouped.join(again, F.col("id") == F.col("repeated")).select("id", "row"))
+    return kept.unionByName(rows.groupBy("id").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*"))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
