@@ -18,8 +18,8 @@ but for that every step is exact.  The only estimate is the order of the shingle
    (each as wide as the threshold lets two sizes differ, so that a bucket is split by length before it is paired) and three
    filters let them: the positional filter, tightened by the count of shared shingles so far;
    the count of prefix shingles that the pair shares; and the pivot bound.  If both x and y were compared
-   with the bucket's first document and their shingles outside it counted, the overlap of x and y is
-   at most that of x with the first document and the number of
+   with the bucket's first document (in buckets of ``MANY`` entries all are, whatever the filters said) and their shingles outside it counted, the overlap of x and y is
+   at most the smaller of their overlaps with the first document and the smaller of the numbers of
    shingles of x outside that document which another one so counted has too.  So the
    members of a group of near misses, each with changes of its own, need not be compared in pairs.
    Pairs within a component need no comparison.
@@ -48,6 +48,8 @@ from tidefold.llm._bits import among, bitmap, bits_for
 from tidefold.llm._shared import Tables, components, own_columns
 
 WIDTH, PERCENT, SKETCH_BITS = 5, 80, 18
+#: A bucket with so many entries gives all of them a pivot bound.
+MANY = 16
 #: Texts or pairs of sets that a Python worker holds at once.
 TEXTS, SETS = 1000, 200
 
@@ -196,8 +198,8 @@ def overlap(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return x[at] == y
 
 
-def _verify(percent: int, outside: bool):
-    """(a, b, n, o, linked, outside): the size of b, the overlap, and the shingles of b that a lacks if they are the fewer."""
+def _verify(percent: int, outside: float):
+    """(a, b, n, o, linked, outside): the size of b, the overlap, and the shingles of b that a lacks if they are at most that share of b."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("o", pa.int64()), ("linked", pa.bool_()), ("outside", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +212,7 @@ def _verify(percent: int, outside: bool):
                 n.append(len(y))
                 o.append(int(common.sum()))
                 linked.append(o[-1] >= need)
-                out.append(y[~common].view(np.int64) if outside and 2 * o[-1] >= len(y) else None)
+                out.append(y[~common].view(np.int64) if outside and len(y) - o[-1] <= outside * len(y) else None)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(o, pa.int64()), pa.array(linked, pa.bool_()), pa.array(out, pa.list_(pa.int64()))], schema=schema)
 
     return run, "a long, b long, n long, o long, linked boolean, outside array<long>"
@@ -240,7 +242,7 @@ def _sieved(pairs: DataFrame, sigs: DataFrame, tables: Tables, percent: int) ->
     return tables.keep(both.mapInArrow(run, schema).distinct())
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, tables: Tables, width: int, percent: int, outside: bool) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, tables: Tables, width: int, percent: int, outside: float) -> DataFrame:
     """The distinct pairs (a, b) with their overlaps."""
     # a bitmap of bounded size keeps most other sets out of the shuffle; the joins below are exact
     on = bitmap(pairs.select(F.explode(F.array(F.xxhash64("a"), F.xxhash64("b")))), bits_for(2 * pairs.count()))
@@ -289,30 +291,42 @@ def similarity_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     named = named.join(of.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a").join(of.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b").where("ra <> rb")
     first = named.groupBy(F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y")).agg(F.min("ra").alias("a"))
     first = tables.keep(first.select("a", F.when(F.col("x") == F.col("a"), F.col("y")).otherwise(F.col("x")).alias("b")))
-    met = _verified(docs, _sieved(first, sigs, tables, percent), tables, width, percent, outside=True)
+    met = _verified(docs, _sieved(first, sigs, tables, percent), tables, width, percent, outside=0.5)
     # an id with several texts is one vertex
     split = of.groupBy("doc_id").agg(F.min("rep").alias("b"), F.count("*").alias("k")).where("k > 1").drop("k")
     again = of.join(split, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b")
     one = tables.keep(components(met.where("linked").select("a", "b").unionByName(again), tables))
 
-    # the pivot bound: most that b can share with another document that has a bound under a; one without may share more
-    near = tables.keep(met.where("not linked and outside is not null").select("a").distinct())
-    outer = met.join(near, "a", "left_semi").select("a", "b", F.explode("outside").alias("t"))
+    label = of.join(one, of["rep"] == one["id"], "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("comp"))
+    # tasks leave out only the copies that they have seen themselves: one document speaks for its class, but for ids with several texts
+    speaks = live.select("doc_id").distinct().join(of, "doc_id").join(split, "doc_id", "left_anti").groupBy("rep").agg(F.min("doc_id").alias("doc_id"))
+    speaks = tables.keep(speaks.select("doc_id").unionByName(split.select("doc_id")))
+    rest = live.where("not lead").select("token", "doc_id", "pos", "n").join(speaks, "doc_id", "left_semi").join(label, "doc_id")
+    # an id with several texts leads without a bound
+    leads = live.where("lead").join(of, "doc_id").groupBy("token").agg(F.when(F.count("*") == 1, F.min("rep")).alias("first"))
+    open_ = rest.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).where("c0 <> c1").select("token", "m")
+    # copies of a bucket's first document have been compared with it
+    rest = rest.join(open_.join(leads, "token"), "token").where("first is null or rep <> first").withColumn("before", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1)
+    rest = tables.keep(rest)
+
+    # the pivot bound: what b can share, in a and outside of it, with another document that has a bound under a; one without may share more.  An id with
+    # several texts has several rows for a pair, and a bound only if the outside of each is known
+    counted = met.join(met.groupBy("a", "b").agg(F.bool_and(F.col("outside").isNotNull()).alias("all")).where("all").select("a", "b"), ["a", "b"], "left_semi")
+    # in large buckets the filters that kept a document from its first one do not say what it shares with the others
+    asked = rest.where(F.col("m") >= MANY).select(F.col("first").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct().join(counted, ["a", "b"], "left_anti")
+    asked = tables.keep(asked)
+    if not asked.isEmpty():
+        counted = counted.unionByName(_verified(docs, asked, tables, width, percent, outside=0.5).where("outside is not null"))
+    near = tables.keep(counted.where("not linked").select("a").distinct())
+    outer = counted.join(near, "a", "left_semi").select("a", "b", F.explode("outside").alias("t"))
     common = outer.groupBy("a", "t").agg(F.count("*").alias("k")).where("k > 1").drop("k")
     extra = outer.join(common, ["a", "t"]).groupBy("a", "b").agg(F.count("*").alias("k"))
-    # an id with several texts has several rows for a pair, and a bound only if the outside of each is known
-    whole = met.join(near, "a", "left_semi").groupBy("a", "b").agg(F.max("o").alias("o"), F.bool_and(F.col("outside").isNotNull()).alias("all")).where("all")
-    bound = whole.join(extra, ["a", "b"], "left").select(F.col("a").alias("first"), F.col("b").alias("rep"), (F.col("o") + F.coalesce("k", F.lit(0))).alias("most"))
-
-    label = of.join(one, of["rep"] == one["id"], "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("comp"))
-    rest = live.where("not lead").drop("lead").join(label, "doc_id")
-    open_ = rest.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
-    rest = rest.join(open_, "token").withColumn("before", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1)
-    rest = rest.join(of.select(F.col("doc_id").alias("with_doc"), F.col("rep").alias("first")), "with_doc", "left").join(bound, ["first", "rep"], "left")
-    rest = tables.keep(rest.select("token", "doc_id", "rep", "comp", "pos", "n", "before", F.when(F.col("most").isNotNull(), F.col("first")).alias("first"), "most"))
-    x, y = (rest.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "rep", "comp", "pos", "n", "before", "first", "most")]) for k in "xy")
+    whole = counted.join(near, "a", "left_semi").groupBy("a", "b").agg(F.max("o").alias("o"))
+    bound = whole.join(extra, ["a", "b"], "left").select(F.col("a").alias("first"), F.col("b").alias("rep"), F.col("o").alias("shared"), F.coalesce("k", F.lit(0)).alias("extra"))
+    entries, rest = rest, tables.keep(rest.drop("m").join(bound, ["first", "rep"], "left").withColumn("first", F.when(F.col("shared").isNotNull(), F.col("first"))))
+    x, y = (rest.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "rep", "comp", "pos", "n", "before", "first", "shared", "extra")]) for k in "xy")
     need = _need(F.col("n_x"), F.col("n_y"), percent)
-    apart = F.coalesce((F.col("first_x") == F.col("first_y")) & (F.least("most_x", "most_y") < need), F.lit(False))
+    apart = F.coalesce((F.col("first_x") == F.col("first_y")) & (F.least("shared_x", "shared_y") + F.least("extra_x", "extra_y") < need), F.lit(False))
     may = ~apart & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & (F.least("before_x", "before_y") + 1 + F.least(F.expr("n_x - pos_x - 1"), F.expr("n_y - pos_y - 1")) >= need)
     # x is in the lower band, or in the same one the lower document
     x, y = x.withColumn("band", _band(F.col("n_x"), percent)), y.withColumn("band_y", _band(F.col("n_y"), percent))
@@ -326,12 +340,12 @@ def similarity_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     if second.isEmpty():
         last = by_rep
     else:
-        more = _verified(docs, _sieved(second, sigs, tables, percent), tables, width, percent, outside=False).where("linked")
+        more = _verified(docs, _sieved(second, sigs, tables, percent), tables, width, percent, outside=0).where("linked")
         joined = more.join(by_rep.select(F.col("id").alias("a"), F.col("comp").alias("u")), "a").join(by_rep.select(F.col("id").alias("b"), F.col("comp").alias("v")), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
         two = components(joined, tables).select(F.col("id").alias("comp"), "component")
         last = by_rep.join(two, "comp", "left").select("id", F.coalesce("component", "comp").alias("comp"))
     last = tables.keep(last)
-    tables.drop(live, rest, first, second, met)
+    tables.drop(live, entries, rest, first, second, met)
     out = vertices.join(last.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("comp")).alias("component_id"))
     return out.unionByName(sizes.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
