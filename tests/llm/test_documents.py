@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -137,6 +138,44 @@ def test_join_one_id_with_two_texts_links_both(spark):
     assert got == {(5, 3), (3, 3), (4, 3), (9, 9)}
 
 
+def test_join_frees_the_shuffle_files_of_its_tables(spark, monkeypatch):
+    rows = [(i, text(60_000 + i, 300)) for i in range(400)]
+    disk, keep, left = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), Tables.keep, []
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {f.getName(): f.length() for f in map(files.apply, range(files.size())) if f.getName().startswith("shuffle")}
+
+    def watched(self, *given):
+        out = keep(self, *given)
+        for _ in range(30):
+            # the prefixes alone are 400 * 60 shingles of 8 random bytes
+            if (n := sum(n for name, n in shuffled().items() if name not in before)) < 100_000:
+                left.append(n)
+                return out
+            time.sleep(0.1)  # files go a little after the query
+        pytest.fail("the shuffle files of a table that is written are still there")
+
+    docs, before = spark.createDataFrame(rows, "doc_id long, text string"), shuffled()
+    monkeypatch.setattr(Tables, "keep", watched)
+    assert ngram_join.similarity_classes(docs).count() == 400
+    assert len(left) > 10
+
+
+def test_join_sums_the_sketches_of_all_tasks(spark):
+    rows = [(i, text(50_000 + i % 7, 40)) for i in range(700)] + [(1000 + i, text(i, 30)) for i in range(50)]
+    run, schema = ngram_join._sizes(5, 22)
+    both = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).mapInArrow(run, schema)
+    got = ngram_join._sketch(both.where("kind = 1").select("doc_id", "n", "sig"), Tables(spark, "t"), 22)
+    want = np.zeros(1 << 22, dtype=np.int64)
+    for _, h in _words.by_text(pa.array([t for _, t in rows])):
+        np.add.at(want, (_words.shingle_set(h, 5) >> np.uint64(42)).astype(np.int64), 1)
+    assert (got == want).all() and got.max() >= 100
+    pieces = [(k, c) for k, c in enumerate((np.arange(9), np.full(9, 300), np.zeros(9, np.int64), np.full(9, 70_000), np.full(9, 1 << 40)))]
+    at, width, packed = (x.to_pylist() for x in ngram_join.pieces(iter(pieces)))
+    assert at == [0, 1, 3, 4] and all((ngram_join.unpacked(w, x) == pieces[k][1]).all() for k, w, x in zip(at, width, packed, strict=True))
+
+
 def test_signature_bounds_the_overlap():
     rng = np.random.default_rng(1)
     for n, m, common in ((10, 12, 8), (100, 120, 90), (500, 400, 0), (1000, 900, 850)):

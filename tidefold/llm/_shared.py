@@ -18,11 +18,12 @@ class Tables:
 
     A written table cuts the lineage: when an executor is lost, later stages read
     the table again and recompute nothing before it.  ``drop`` removes tables that
-    no result still reads.
+    no result still reads.  With ``lean`` the shuffle files of a table go as soon as it
+    is written; else they stay until the driver happens to collect its garbage.
     """
 
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.root, self.made = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+    def __init__(self, spark: SparkSession, name: str, lean: bool = False) -> None:
+        self.spark, self.root, self.made, self.lean = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0, lean
 
     def new_path(self) -> str:
         self.made += 1
@@ -30,13 +31,15 @@ class Tables:
 
     def keep(self, df: DataFrame, batch: int | None = None) -> DataFrame:
         """The table written and read again; ``batch``: rows that Python gets at once while it is written."""
-        path, at = self.new_path(), "spark.sql.execution.arrow.maxRecordsPerBatch"
-        before = self.spark.conf.get(at)
+        path, at, free = self.new_path(), "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before, freed = self.spark.conf.get(at), self.spark.conf.get(free, "false")
         try:
             self.spark.conf.set(at, str(batch or before))
+            self.spark.conf.set(free, "true" if self.lean else freed)
             df.write.parquet(path)
         finally:
             self.spark.conf.set(at, before)
+            self.spark.conf.set(free, freed)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tables: DataFrame) -> None:

@@ -5,7 +5,7 @@ least ``percent`` in a hundred.  Shingles are 64-bit hashes and equal sets are t
 but for that every step is exact.  The only estimate is the order of the shingles, and any order gives the same links.
 
 1. One pass over the texts gives the set's size and a digest of each document, and
-   adds up a count sketch of all shingles (``2**sketch_bits`` counters, a fixed size).
+   adds up a count sketch of all shingles (``2**SKETCH_BITS`` counters, a fixed size).
    Documents with equal sets form a class; only its first document goes on.
 2. Each set is ordered rare-first by the sketch.  If two sets link, their prefixes of
    ``n - ceil(percent * n / 100) + 1`` shingles share one.  Prefix entries are dealt by
@@ -35,6 +35,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,7 +48,9 @@ from tidefold.llm import _words as W
 from tidefold.llm._bits import among, bitmap, bits_for
 from tidefold.llm._shared import Tables, components, own_columns
 
-WIDTH, PERCENT, SKETCH_BITS = 5, 80, 18
+WIDTH, PERCENT = 5, 80
+#: A sketch has 2**SKETCH_BITS counters and travels in packed pieces of 2**PIECE_BITS.
+SKETCH_BITS, PIECE_BITS = 22, 16
 #: A bucket with so many entries gives all of them a pivot bound.
 MANY = 16
 #: Texts or pairs of sets that a Python worker holds at once.
@@ -79,12 +82,58 @@ def at_most(x: np.ndarray, y: np.ndarray, n: int, m: int) -> int:
     return min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
 
 
+def pieces(sums: Iterator[tuple[int, np.ndarray]]) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Numbered pieces of a sketch as (number, bytes of a counter, packed counters); those without a count are left out."""
+    at, width, packed = [], [], []
+    for k, c in sums:
+        if most := int(c.max()):
+            c = c.astype(np.min_scalar_type(most))
+            at.append(k)
+            width.append(c.itemsize)
+            packed.append(zlib.compress(c.tobytes(), 1))
+    return pa.array(at, pa.int64()), pa.array(width, pa.int64()), pa.array(packed, pa.binary())
+
+
+def unpacked(width: int, packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), f"u{width}")
+
+
+def _added():
+    """Pieces with the same number to their sum."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, width, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                c = unpacked(width, packed)
+                if k in sums:
+                    sums[k] += c
+                else:
+                    sums[k] = c.astype(np.int64)
+        yield pa.record_batch(list(pieces(iter(sums.items()))), names=["at", "width", "packed"])
+
+    return run, "at long, width long, packed binary"
+
+
+def _sketch(parts: DataFrame, tables: Tables, bits: int) -> np.ndarray:
+    """The sum of the tasks' sketches in 16 bits a counter: their low bits go when counters are large, and what is over 16 bits ties."""
+    run, schema = _added()
+    sums = parts.mapInArrow(run, schema).repartition(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "at").mapInArrow(run, schema)
+    counts = np.zeros(1 << bits, dtype=np.int64)
+    for batch in (found := tables.keep(sums, 64)).toArrow().to_batches():
+        for k, width, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            counts[k << PIECE_BITS : (k + 1) << PIECE_BITS] = unpacked(width, packed)
+    tables.drop(found)
+    counts >>= max(0, int(counts.mean()).bit_length() - 13)
+    return np.minimum(counts, (1 << 16) - 1).astype(np.uint16)
+
+
 def _sizes(width: int, bits: int):
-    """Kind 0: (doc_id, n, both digests, signature) of each row; kind 1: (bucket, count) of the task's sketch."""
+    """Kind 0: (doc_id, n, both digests, signature) of each row; kind 1: a piece of the task's sketch in (doc_id, n, -, -, signature)."""
     schema = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("node2", pa.int64()), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, dtype=np.int64)
+        counts = np.zeros(1 << bits, dtype=np.uint32)
         for batch in batches:
             n, node, node2 = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
             sig = [b""] * batch.num_rows
@@ -94,8 +143,8 @@ def _sizes(width: int, bits: int):
                     n[i], node[i], node2[i], sig[i] = len(s), digest(s), _second(s), signature(s).tobytes()
                     np.add.at(counts, (s >> np.uint64(64 - bits)).astype(np.int64), 1)
             yield pa.record_batch([pa.array(np.zeros(len(n), np.int8)), batch.column(0), pa.array(n), pa.array(node), pa.array(node2), pa.array(sig, pa.binary())], schema=schema)
-        at = np.flatnonzero(counts)
-        yield pa.record_batch([pa.array(np.ones(len(at), np.int8)), pa.array(at), pa.array(counts[at]), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary())], schema=schema)
+        at, size, packed = pieces(enumerate(counts.reshape(-1, 1 << PIECE_BITS)))
+        yield pa.record_batch([pa.array(np.ones(len(at), np.int8)), at, size, pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), packed], schema=schema)
 
     return run, "kind tinyint, doc_id long, n long, node long, node2 long, sig binary"
 
@@ -121,7 +170,7 @@ def _prefixes(width: int, percent: int, bits: int, sketch):
                 n = len(s)
                 p = n - (percent * n + 99) // 100 + 1
                 # counts and hashes in one key: the count in the high bits, ties by the hash
-                c = np.minimum(counts[(s >> np.uint64(64 - bits)).astype(np.int64)], (1 << 40) - 1).astype(np.uint64)
+                c = counts[(s >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64)
                 order = np.argsort((c << np.uint64(24)) | (s & np.uint64((1 << 24) - 1)), kind="stable")[:p]
                 out.append((s[order].view(np.int64), (np.arange(p, dtype=np.int64) << 32) | n, np.full(p, ids[i].as_py(), np.int64)))
                 held += p
@@ -266,14 +315,12 @@ def _band(n, percent: int):
 def similarity_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text, ...)``; see the module."""
     spark = docs.sparkSession
-    tables = Tables(spark, "ngram-join")
+    tables = Tables(spark, "ngram-join", lean=True)
     docs = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     run, schema = _sizes(width, SKETCH_BITS)
     both = tables.keep(docs.mapInArrow(run, schema), TEXTS)
     sizes = both.where("kind = 0").drop("kind")
-    found = both.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    counts[found["doc_id"].to_numpy()] = found["n"].to_numpy()
+    counts = _sketch(both.where("kind = 1").select("doc_id", "n", "sig"), tables, SKETCH_BITS)
     some = sizes.where("n > 0")
     # classes of one are most; the others are written first, so that the join with a class of very many rows can be split
     classes = tables.keep(some.groupBy("node", "node2", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("k")).where("k > 1").drop("k"))
