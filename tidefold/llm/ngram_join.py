@@ -141,7 +141,7 @@ def _sizes(width: int, bits: int):
                 s = W.shingle_set(h, width)
                 if len(s):
                     n[i], node[i], node2[i], sig[i] = len(s), digest(s), _second(s), signature(s).tobytes()
-                    np.add.at(counts, (s >> np.uint64(64 - bits)).astype(np.int64), 1)
+                    np.add.at(counts, (s >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
             yield pa.record_batch([pa.array(np.zeros(len(n), np.int8)), batch.column(0), pa.array(n), pa.array(node), pa.array(node2), pa.array(sig, pa.binary())], schema=schema)
         at, size, packed = pieces(enumerate(counts.reshape(-1, 1 << PIECE_BITS)))
         yield pa.record_batch([pa.array(np.ones(len(at), np.int8)), at, size, pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), packed], schema=schema)
