@@ -162,6 +162,15 @@ def test_join_frees_the_shuffle_files_of_its_tables(spark, monkeypatch):
     assert len(left) > 10
 
 
+def test_join_verifies_many_pairs_in_several_runs(spark, monkeypatch):
+    rows, runs, verify = near_copies(2, 3, 40), [], ngram_join._verify
+    monkeypatch.setattr(ngram_join, "_verify", lambda *given: runs.append(most) or verify(*given))
+    for most in (1000, 10):
+        monkeypatch.setattr(ngram_join, "PAIRS", most, raising=False)
+        assert as_classes(ngram_join.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_classes(rows)
+    assert runs.count(10) > runs.count(1000) > 0
+
+
 def test_join_sums_the_sketches_of_all_tasks(spark):
     rows = [(i, text(50_000 + i % 7, 40)) for i in range(700)] + [(1000 + i, text(i, 30)) for i in range(50)]
     run, schema = ngram_join._sizes(5, 22)

@@ -37,6 +37,7 @@ import hashlib
 import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,8 @@ SKETCH_BITS, PIECE_BITS = 22, 16
 MANY = 16
 #: Texts or pairs of sets that a Python worker holds at once.
 TEXTS, SETS = 1000, 200
+#: Pairs whose whole sets are shuffled at once, or a quarter of the documents if that is more.
+PAIRS = 100_000
 
 
 def digest(s: np.ndarray) -> int:
@@ -291,8 +294,14 @@ def _sieved(pairs: DataFrame, sigs: DataFrame, tables: Tables, percent: int) ->
     return tables.keep(both.mapInArrow(run, schema).distinct())
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, tables: Tables, width: int, percent: int, outside: float) -> DataFrame:
-    """The distinct pairs (a, b) with their overlaps."""
+def _verified(docs: DataFrame, pairs: DataFrame, tables: Tables, width: int, percent: int, outside: float, most: int) -> DataFrame:
+    """The distinct pairs (a, b) with their overlaps; about ``most`` at once, since their sets may take many times the disk of the input."""
+    parts = max(1, math.ceil(pairs.count() / most))
+    own = [pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == k) for k in range(parts)] if parts > 1 else [pairs]
+    return reduce(DataFrame.unionByName, [_verified_at_once(docs, some, tables, width, percent, outside) for some in own])
+
+
+def _verified_at_once(docs: DataFrame, pairs: DataFrame, tables: Tables, width: int, percent: int, outside: float) -> DataFrame:
     # a bitmap of bounded size keeps most other sets out of the shuffle; the joins below are exact
     on = bitmap(pairs.select(F.explode(F.array(F.xxhash64("a"), F.xxhash64("b")))), bits_for(2 * pairs.count()))
     run, schema = _sets(width, docs.sparkSession.sparkContext.broadcast(on))
@@ -327,6 +336,7 @@ def similarity_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     vertices = tables.keep(some.drop("sig").join(classes, ["node", "node2", "n"], "left").select("doc_id", "n", F.coalesce("first", "doc_id").alias("rep")))
     sigs = some.join(vertices.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", "sig")
     of = vertices.where("doc_id is not null").select("doc_id", "rep").distinct()
+    most = max(PAIRS, vertices.count() // 4)
 
     run, schema = _prefixes(width, percent, SKETCH_BITS, spark.sparkContext.broadcast(counts))
     entries = docs.mapInArrow(run, schema).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token").sortWithinPartitions("token", "place", "doc_id")
@@ -338,7 +348,7 @@ def similarity_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     named = named.join(of.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a").join(of.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b").where("ra <> rb")
     first = named.groupBy(F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y")).agg(F.min("ra").alias("a"))
     first = tables.keep(first.select("a", F.when(F.col("x") == F.col("a"), F.col("y")).otherwise(F.col("x")).alias("b")))
-    met = _verified(docs, _sieved(first, sigs, tables, percent), tables, width, percent, outside=0.5)
+    met = _verified(docs, _sieved(first, sigs, tables, percent), tables, width, percent, outside=0.5, most=most)
     # an id with several texts is one vertex
     split = of.groupBy("doc_id").agg(F.min("rep").alias("b"), F.count("*").alias("k")).where("k > 1").drop("k")
     again = of.join(split, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b")
@@ -363,7 +373,7 @@ def similarity_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     asked = rest.where(F.col("m") >= MANY).select(F.col("first").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct().join(counted, ["a", "b"], "left_anti")
     asked = tables.keep(asked)
     if not asked.isEmpty():
-        counted = counted.unionByName(_verified(docs, asked, tables, width, percent, outside=0.5).where("outside is not null"))
+        counted = counted.unionByName(_verified(docs, asked, tables, width, percent, outside=0.5, most=most).where("outside is not null"))
     near = tables.keep(counted.where("not linked").select("a").distinct())
     outer = counted.join(near, "a", "left_semi").select("a", "b", F.explode("outside").alias("t"))
     common = outer.groupBy("a", "t").agg(F.count("*").alias("k")).where("k > 1").drop("k")
@@ -387,7 +397,7 @@ def similarity_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     if second.isEmpty():
         last = by_rep
     else:
-        more = _verified(docs, _sieved(second, sigs, tables, percent), tables, width, percent, outside=0).where("linked")
+        more = _verified(docs, _sieved(second, sigs, tables, percent), tables, width, percent, outside=0, most=most).where("linked")
         joined = more.join(by_rep.select(F.col("id").alias("a"), F.col("comp").alias("u")), "a").join(by_rep.select(F.col("id").alias("b"), F.col("comp").alias("v")), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
         two = components(joined, tables).select(F.col("id").alias("comp"), "component")
         last = by_rep.join(two, "comp", "left").select("id", F.coalesce("component", "comp").alias("comp"))
